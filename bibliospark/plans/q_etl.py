@@ -108,3 +108,43 @@ SELECT reason, n FROM (
 def extract_rejects(spark, base):
     r = X.rejects(documents_from_tables(spark, base))
     return r.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------------ A8 ----
+# Dedup over the landed documents table: a document's identifier is its
+# length code, its title the whole normalised text (stripped, lower-cased), so
+# exact copies collide on the title and unrelated documents on the id.
+
+def _dedup_input(spark, base):
+    from ..functions.text import norm_title
+    from ..sources.tables import Catalog
+    d = Catalog(spark, base).documents
+    return d.select(F.col("doc_id").alias("seq"),
+                    F.coalesce(F.col("n_chars").cast("string"), F.lit("")).alias("id"),
+                    norm_title("text").alias("title"))
+
+
+@register("dedup_id_or_title", f"""
+WITH RECURSIVE src AS (
+  SELECT row_number() OVER (ORDER BY seq) AS rn, seq, k1, md5(k2t) AS k2 FROM (
+    SELECT doc_id AS seq, coalesce(CAST(n_chars AS VARCHAR), '') AS k1,
+           coalesce(lower({sql_strip('text')}), '') AS k2t
+    FROM documents)
+  WHERE NOT (k1 = '' AND k2t = '')
+),
+walk(rn, seen1, seen2, kept) AS (
+  SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], []::BIGINT[]
+  UNION ALL
+  SELECT s.rn,
+         CASE WHEN list_contains(w.seen1, s.k1) OR list_contains(w.seen2, s.k2) THEN w.seen1
+              ELSE list_append(w.seen1, s.k1) END,
+         CASE WHEN list_contains(w.seen1, s.k1) OR list_contains(w.seen2, s.k2) THEN w.seen2
+              ELSE list_append(w.seen2, s.k2) END,
+         CASE WHEN list_contains(w.seen1, s.k1) OR list_contains(w.seen2, s.k2) THEN w.kept
+              ELSE list_append(w.kept, s.seq) END
+  FROM walk w JOIN src s ON s.rn = w.rn + 1
+)
+SELECT unnest(kept) AS seq FROM walk WHERE rn = (SELECT max(rn) FROM src)""")
+def dedup_id_or_title(spark, base):
+    from ..operators.dedup import greedy_dedup
+    return greedy_dedup(_dedup_input(spark, base)).select("seq")
