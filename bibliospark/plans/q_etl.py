@@ -148,3 +148,144 @@ SELECT unnest(kept) AS seq FROM walk WHERE rn = (SELECT max(rn) FROM src)""")
 def dedup_id_or_title(spark, base):
     from ..operators.dedup import greedy_dedup
     return greedy_dedup(_dedup_input(spark, base)).select("seq")
+
+
+# ------------------------------------------------------- normalisation ----
+
+_FIRSTS = f"""{_LINES.strip()},
+acc AS (SELECT o_orderkey FROM orders WHERE NOT {_REJECTED}),
+art AS (SELECT o_orderkey AS seq, row_number() OVER (ORDER BY o_orderkey) AS article_id FROM acc),
+au AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY seq, a_pos) AS r FROM lines),
+au1 AS (SELECT *, row_number() OVER (ORDER BY seq, a_pos) AS auteur_id FROM au WHERE r = 1),
+af AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY seq, a_pos) AS r FROM lines),
+af1 AS (SELECT *, row_number() OVER (ORDER BY seq, a_pos) AS affiliation_id FROM af WHERE r = 1)"""
+
+
+def _star(spark, base):
+    from ..operators.normalize import load_star
+    return load_star(_clean(spark, base))
+
+
+@register("dim_first_wins_article", f"""
+WITH {_FIRSTS},
+kw AS (SELECT seq, string_agg({sql_strip('p_type')}, ', ' ORDER BY a_pos) AS mots_cles
+       FROM lines WHERE {sql_strip('p_type')} <> '' GROUP BY seq)
+SELECT art.article_id AS id, CAST(o.o_orderkey AS VARCHAR) AS scopus_id,
+       'Article ' || CAST(o.o_orderkey AS VARCHAR) AS titre,
+       coalesce({sql_strip('d.text')}, '') AS resume,
+       strftime(o.o_orderdate, '%Y-%m-%d') AS date_publication, o.o_orderpriority AS revue,
+       CASE WHEN o.o_orderstatus = 'F' THEN '10.5555/' || CAST(o.o_orderkey AS VARCHAR) ELSE '' END AS doi,
+       coalesce(kw.mots_cles, '') AS mots_cles,
+       coalesce({sql_strip('d.source')}, '') AS domaine_recherche
+FROM art JOIN orders o ON o.o_orderkey = art.seq
+LEFT JOIN documents d ON d.doc_id = o.o_orderkey
+LEFT JOIN kw ON kw.seq = art.seq""")
+def dim_first_wins_article(spark, base):
+    return _star(spark, base)["articles"]
+
+
+@register("dim_first_wins_author", f"""
+WITH {_FIRSTS}
+SELECT au1.auteur_id AS id, CAST(au1.l_partkey AS VARCHAR) AS scopus_author_id,
+       {_NAME_SQL.replace('p_name', 'au1.p_name')} AS nom_complet, au1.p_brand AS orcid,
+       af1.affiliation_id AS affiliation_principale
+FROM au1 JOIN af1 ON af1.l_suppkey = au1.l_suppkey""")
+def dim_first_wins_author(spark, base):
+    return _star(spark, base)["auteurs"]
+
+
+@register("dim_first_wins_affiliation", f"""
+WITH {_FIRSTS}
+SELECT affiliation_id AS id, coalesce(s_name, '') AS nom_institution, coalesce(n_name, '') AS pays,
+       CAST(l_suppkey AS VARCHAR) AS scopus_affiliation_id
+FROM af1""")
+def dim_first_wins_affiliation(spark, base):
+    return _star(spark, base)["affiliations"]
+
+
+@register("bridge_article_author", f"""
+WITH {_FIRSTS}
+SELECT art.article_id, au1.auteur_id, count(*) AS n
+FROM lines JOIN art ON art.seq = lines.seq JOIN au1 ON au1.l_partkey = lines.l_partkey
+GROUP BY art.article_id, au1.auteur_id""")
+def bridge_article_author(spark, base):
+    return (_star(spark, base)["article_auteur"].groupBy("article_id", "auteur_id")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("bridge_author_affiliation", f"""
+WITH {_FIRSTS}
+SELECT au1.auteur_id, af1.affiliation_id, count(*) AS n
+FROM lines JOIN au1 ON au1.l_partkey = lines.l_partkey JOIN af1 ON af1.l_suppkey = lines.l_suppkey
+GROUP BY au1.auteur_id, af1.affiliation_id""")
+def bridge_author_affiliation(spark, base):
+    return (_star(spark, base)["auteur_affiliation"].groupBy("auteur_id", "affiliation_id")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("star_load_roundtrip", f"""
+WITH {_LINES.strip()}
+SELECT 'articles' AS table_name, count(*) AS n FROM orders WHERE NOT {_REJECTED}
+UNION ALL SELECT 'auteurs', count(DISTINCT l_partkey) FROM lines
+UNION ALL SELECT 'affiliations', count(DISTINCT l_suppkey) FROM lines
+UNION ALL SELECT 'article_auteur', count(*) FROM lines
+UNION ALL SELECT 'auteur_affiliation', count(*) FROM lines""")
+def star_load_roundtrip(spark, base):
+    # K2 + A11: write the five tables to the shared folder, read them back, count
+    from ..operators.normalize import write_star
+    from ..session import scratch_path
+    path = scratch_path(spark, "star")
+    tables = _star(spark, base)
+    write_star(tables, path)
+    parts = [spark.read.parquet(f"{path}/{name}").select(F.lit(name).alias("table_name"))
+             for name in tables]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("table_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Registrations against the existing users, by e-mail. Suppliers sign
+# up as new users; customers of one segment register again (already present).
+_USERS_SQL = """
+WITH existing AS (SELECT c_custkey AS id, c_name AS name, lower(c_name) || '@mail.example' AS email FROM customer),
+new AS (SELECT 1 AS src, s_suppkey AS k, s_name AS name, lower(s_name) || '@mail.example' AS email FROM supplier
+        UNION ALL
+        SELECT 0 AS src, c_custkey AS k, c_name || ' (again)' AS name, lower(c_name) || '@mail.example' AS email
+        FROM customer WHERE c_mktsegment = 'BUILDING'),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY src, k) AS r FROM new),
+fresh AS (SELECT * FROM firsts WHERE r = 1 AND email NOT IN (SELECT email FROM existing))
+SELECT id, name, email FROM existing
+UNION ALL
+SELECT (SELECT max(id) FROM existing) + row_number() OVER (ORDER BY src, k) AS id, name, email FROM fresh"""
+
+
+@register("insert_if_absent", _USERS_SQL)
+def insert_if_absent(spark, base):
+    from ..operators.normalize import insert_if_absent as ins
+    from ..sources.tables import Catalog
+    cat = Catalog(spark, base)
+    email = lambda c: F.concat(F.lower(c), F.lit("@mail.example"))
+    existing = cat.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
+                                   email(F.col("c_name")).alias("email"))
+    new = (cat.supplier.select(F.lit(1).alias("src"), F.col("s_suppkey").alias("k"),
+                               F.col("s_name").alias("name"), email(F.col("s_name")).alias("email"))
+           .unionByName(cat.customer.where(F.col("c_mktsegment") == "BUILDING").select(
+               F.lit(0).alias("src"), F.col("c_custkey").alias("k"),
+               F.concat(F.col("c_name"), F.lit(" (again)")).alias("name"), email(F.col("c_name")).alias("email"))))
+    return ins(existing, new, key="email", order=["src", "k"])
+
+
+@register("json_sink_roundtrip", """
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE d.text IS NULL) AS n_null_resume
+FROM orders o LEFT JOIN documents d ON d.doc_id = o.o_orderkey""")
+def json_sink_roundtrip(spark, base):
+    # K1: null fields survive the JSON sink (written without dropping nulls)
+    from ..session import scratch_path
+    from ..sources import star
+    from ..sources.landed import write_json
+    path = scratch_path(spark, "json-sink")
+    write_json(star.articles(spark, base).select("id", "resume"), path)
+    lines = spark.read.text(path)
+    return lines.agg(F.count(F.lit(1)).alias("n_rows"),
+                     F.count(F.when(F.col("value").contains('"resume":null'), 1)).alias("n_null_resume"))
