@@ -149,3 +149,14 @@ def authors_and_affiliations(hits: DataFrame, authors: DataFrame, article_author
         F.coalesce(F.nullif("nom_institution", F.lit("")), F.lit("Institution inconnue")).alias("institution"),
         F.coalesce(F.nullif("pays", F.lit("")), F.lit("Pays inconnu")).alias("country"),
     )
+
+
+def retrieval_corpus(articles: DataFrame, drop_blank: bool = False) -> DataFrame:
+    """S4 + P11 + P22: the articles that can be embedded: abstract NOT NULL
+    (a blank abstract passes unless ``drop_blank``)."""
+    cols = ["id", "scopus_id", "titre", "resume", "date_publication", "revue", "doi",
+            "mots_cles", "domaine_recherche"]
+    out = articles.select(*cols).where(F.col("resume").isNotNull())
+    if drop_blank:
+        out = out.where(F.rtrim("resume") != "")
+    return out

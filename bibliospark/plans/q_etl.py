@@ -289,3 +289,59 @@ def json_sink_roundtrip(spark, base):
     lines = spark.read.text(path)
     return lines.agg(F.count(F.lit(1)).alias("n_rows"),
                      F.count(F.when(F.col("value").contains('"resume":null'), 1)).alias("n_null_resume"))
+
+
+# ------------------------------------------------------ harvest S1/S2/S5 --
+
+_PAGES_SQL = """
+pg AS (SELECT (o_orderkey // 25) * 25 AS start, o_orderkey, o_custkey, o_orderdate, o_orderstatus, o_orderpriority,
+              row_number() OVER (PARTITION BY o_orderkey // 25 ORDER BY o_orderkey) - 1 AS pos
+       FROM orders),
+st AS (SELECT start, CASE WHEN bool_or(pos = 0 AND o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')
+                          THEN 429 ELSE 200 END AS status
+       FROM pg GROUP BY start),
+stop AS (SELECT min(start) AS s FROM st WHERE status <> 200),
+kept AS (SELECT pg.* FROM pg JOIN st ON st.start = pg.start
+         WHERE st.status = 200 AND ((SELECT s FROM stop) IS NULL OR pg.start < (SELECT s FROM stop))),
+ids AS (SELECT start, pos, o_orderkey,
+               CASE WHEN o_orderstatus = 'O' AND o_orderpriority = '5-LOW' THEN ''
+                    ELSE CAST(o_orderkey AS VARCHAR) END AS scopus_id
+        FROM kept)"""
+
+
+def _entries(spark, base):
+    from ..sources.landed import pages_until_error, search_pages_from_tables
+    return pages_until_error(search_pages_from_tables(spark, base))
+
+
+@register("landed_pages_until_error", f"""
+WITH {_PAGES_SQL.strip()}
+SELECT CAST(start AS INTEGER) AS start, pos, scopus_id FROM ids""")
+def landed_pages_until_error(spark, base):
+    from ..sources.landed import entry_id
+    e = _entries(spark, base)
+    return e.select("start", F.col("pos").cast("long").alias("pos"), entry_id(F.col("entry")).alias("scopus_id"))
+
+
+@register("enrich_inner", f"""
+WITH {_PAGES_SQL.strip()}
+SELECT CAST(i.start AS INTEGER) AS start, i.pos, i.scopus_id FROM ids i
+JOIN orders o ON CAST(o.o_orderkey AS VARCHAR) = i.scopus_id
+WHERE i.scopus_id <> '' AND NOT (o.o_orderstatus = 'P' AND o.o_orderpriority = '3-MEDIUM')""")
+def enrich_inner(spark, base):
+    from ..sources.landed import details_from_tables, enrich
+    out = enrich(_entries(spark, base), details_from_tables(spark, base))
+    return out.select("start", F.col("pos").cast("long").alias("pos"), "scopus_id")
+
+
+@register("smoke_projection", f"""
+WITH {_PAGES_SQL.strip()}
+SELECT row_number() OVER (ORDER BY start, pos) AS rank,
+       'Article ' || CAST(o_orderkey AS VARCHAR) AS title,
+       CASE WHEN o_orderstatus = 'F' THEN 'Creator ' || CAST(o_custkey AS VARCHAR) ELSE 'Non disponible' END AS creator,
+       strftime(o_orderdate, '%Y-%m-%d') AS date,
+       CASE WHEN o_orderstatus = 'F' THEN '10.5555/' || CAST(o_orderkey AS VARCHAR) ELSE 'Non disponible' END AS doi
+FROM kept ORDER BY start, pos LIMIT 5""")
+def smoke_projection(spark, base):
+    from ..sources.landed import smoke_projection as sp
+    return sp(_entries(spark, base), 5)

@@ -178,3 +178,68 @@ def documents_from_tables(spark: SparkSession, base: str) -> DataFrame:
         .alias("prism:doi"))))
     staged = staged.withColumn("_coredata", core)
     return staged.select(F.col("o_orderkey").alias("seq"), doc.alias("value"))
+
+
+PAGE_SIZE = 25  # entries per search page (the harvest's page size)
+
+
+def search_pages_from_tables(spark: SparkSession, base: str) -> DataFrame:
+    """(start, status, body): the orders as paged search responses of
+    ``PAGE_SIZE`` entries in key order. A page whose first order is urgent
+    and pending answers 429 (rate limited); an entry of an open low-priority
+    order has a blank identifier; ``dc:creator`` and ``prism:doi`` are only
+    present for finished orders. Each page holds at most ``PAGE_SIZE``
+    entries, so the per-page collect is bounded."""
+    o = Catalog(spark, base).orders.select("o_orderkey", "o_custkey", "o_orderdate",
+                                           "o_orderstatus", "o_orderpriority")
+    key = F.col("o_orderkey").cast("string")
+    finished = F.col("o_orderstatus") == "F"
+    entry = F.to_json(F.struct(
+        F.when((F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") == "5-LOW"), F.lit(""))
+        .otherwise(F.concat(F.lit(ID_PREFIX), key)).alias("dc:identifier"),
+        F.concat(F.lit("Article "), key).alias("dc:title"),
+        F.when(finished, F.concat(F.lit("Creator "), F.col("o_custkey").cast("string"))).alias("dc:creator"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("prism:coverDate"),
+        F.when(finished, F.concat(F.lit("10.5555/"), key)).alias("prism:doi")))
+    first_bad = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT")
+    pages = (o.select(F.expr(f"o_orderkey div {PAGE_SIZE}").alias("page"),
+                      F.struct("o_orderkey", entry.alias("e"), first_bad.alias("bad")).alias("x"))
+             .groupBy("page").agg(F.array_sort(F.collect_list("x")).alias("xs")))
+    body = F.concat(F.lit('{"search-results":{"entry":['),
+                    F.array_join(F.transform("xs", lambda x: x["e"]), ","), F.lit("]}}"))
+    status = F.when(F.get(F.col("xs"), 0)["bad"], F.lit(429)).otherwise(F.lit(200))
+    return pages.select((F.col("page") * PAGE_SIZE).cast("int").alias("start"), status.alias("status"),
+                        body.alias("body"))
+
+
+def details_from_tables(spark: SparkSession, base: str) -> DataFrame:
+    """(scopus_id, status, body): the detail response per order; pending
+    medium-priority orders answer 404."""
+    o = Catalog(spark, base).orders.select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    docs = documents_from_tables(spark, base)
+    missing = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "3-MEDIUM")
+    return (o.join(docs, o.o_orderkey == docs.seq)
+            .select(F.col("o_orderkey").cast("string").alias("scopus_id"),
+                    F.when(missing, F.lit(404)).otherwise(F.lit(200)).alias("status"),
+                    F.col("value").alias("body")))
+
+
+# Fixed value: the smoke search's default for a missing field.
+NOT_AVAILABLE = "Non disponible"
+
+
+def smoke_projection(entries: DataFrame, count: int = 5) -> DataFrame:
+    """S5 + P19: the first ``count`` entries of the search in relevance
+    (harvest) order with title, creator, date and DOI; a missing key shows
+    ``NOT_AVAILABLE`` (a present null does not)."""
+    w = F.row_number().over(Window.orderBy("start", "pos"))
+
+    def field(key):
+        v = F.try_variant_get(F.col("entry"), f"$['{key}']", "variant")
+        return F.when(v.isNull(), F.lit(NOT_AVAILABLE)).otherwise(
+            F.try_variant_get(F.col("entry"), f"$['{key}']", "string"))
+
+    top = entries.orderBy("start", "pos").limit(count)  # the feature: a top-5 search
+    return top.select(w.cast("long").alias("rank"), field("dc:title").alias("title"),
+                      field("dc:creator").alias("creator"), field("prism:coverDate").alias("date"),
+                      field("prism:doi").alias("doi"))
