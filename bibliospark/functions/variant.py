@@ -33,14 +33,20 @@ def as_object(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>")
 
 
+def is_object(v: Column) -> Column:
+    """Object test without copying: a cast to the empty struct only checks
+    the value's type header."""
+    return F.try_variant_get(v, "$", "struct<>").isNotNull()
+
+
 def vkind(v: Column) -> Column:
-    """The JSON kind of a value; arrays and objects are recognised by a
-    shallow cast so the subtree is not serialised. ``v`` should be a column or
-    a lambda variable (it is referenced several times)."""
+    """The JSON kind of a value; objects and arrays are recognised by
+    casts, so the subtree is not serialised. ``v`` should be a column or a
+    lambda variable (it is referenced several times)."""
     sch = F.schema_of_variant(v)
     return (F.when(v.isNull(), F.lit(MISSING))
             .when(F.is_variant_null(v), F.lit(NULL))
-            .when(as_object(v).isNotNull(), F.lit(OBJECT))
+            .when(is_object(v), F.lit(OBJECT))
             .when(as_array(v).isNotNull(), F.lit(ARRAY))
             .when(sch == "STRING", F.lit(STRING))
             .when(sch == "BOOLEAN", F.lit(BOOLEAN))

@@ -75,7 +75,7 @@ def extract_authors(spark, base):
 
 @register("extract_affils", f"""
 WITH {_LINES.strip()}
-SELECT seq, a_pos, 0 AS f_pos, CAST(l_suppkey AS VARCHAR) AS scopus_affiliation_id,
+SELECT seq, a_pos, CAST(0 AS BIGINT) AS f_pos, CAST(l_suppkey AS VARCHAR) AS scopus_affiliation_id,
        coalesce(s_name, '') AS nom_institution, coalesce(n_name, '') AS pays
 FROM lines""")
 def extract_affils(spark, base):

@@ -30,6 +30,11 @@ def duck(sf_dir: str):
     return con
 
 
+TYPE_MAP = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+            "boolean": "BOOLEAN", "float": "FLOAT", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP",
+            "date": "DATE", "array<float>": "FLOAT[]"}
+
+
 def _canon(v):
     if v is None:
         return "∅"
@@ -71,6 +76,12 @@ def compare(spark, sf_dir, name, fn, sql, con=None):
     out["schema_ok"] = sorted(s_cols) == sorted(d_cols)
     if not out["schema_ok"]:
         out["spark_cols"], out["duck_cols"] = s_cols, d_cols
+    s_types = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
+    d_types = {d[0]: str(d[1]) for d in res.description}
+    bad_types = {c: (s_types[c], d_types.get(c)) for c in s_types
+                 if TYPE_MAP.get(s_types[c], s_types[c]) != TYPE_MAP.get(d_types.get(c), d_types.get(c))}
+    if bad_types:
+        out["type_mismatch"] = bad_types
     a = sorted(rows_of(s_cols, s_rows))
     b = sorted(rows_of(d_cols, d_rows))
     out["values_ok"] = a == b
@@ -101,7 +112,8 @@ def main(argv):
             r = compare(spark, sf_dir, name, qs[name], sqls[name], con)
         except Exception as e:  # report and continue
             r = {"name": name, "error": repr(e)[:800]}
-        ok = r.get("schema_ok") and r.get("values_ok") and r["spark_rows"] == r["duck_rows"]
+        ok = (r.get("schema_ok") and r.get("values_ok") and r["spark_rows"] == r["duck_rows"]
+              and not r.get("type_mismatch"))
         bad += 0 if ok else 1
         print(("OK  " if ok else "FAIL"), r, flush=True)
     print("failures:", bad)
