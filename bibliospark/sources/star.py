@@ -92,12 +92,23 @@ def messages(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def article_dates(spark: SparkSession, base: str) -> DataFrame:
+    """(id, date_publication) of the articles, read from orders alone (the
+    document side of ``articles`` is not needed for dates)."""
+    return Catalog(spark, base).orders.select(
+        F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date_publication"))
+
+
+def embedding_corpus(spark: SparkSession, base: str) -> DataFrame:
+    """Retrieval vectors without dates: (article_id, embedding), no join."""
+    return Catalog(spark, base).embeddings.select(F.col("vec_id").alias("article_id"), "embedding")
+
+
 def vectors(spark: SparkSession, base: str) -> DataFrame:
-    """Retrieval corpus: (article_id, embedding, date_publication)."""
-    e = Catalog(spark, base).embeddings.select("vec_id", "embedding")
-    a = articles(spark, base).select("id", "date_publication")
-    return e.join(a, e.vec_id == a.id, "left").select(
-        F.col("vec_id").alias("article_id"), "embedding", "date_publication")
+    """Retrieval corpus with dates: (article_id, embedding, date_publication)."""
+    e = embedding_corpus(spark, base)
+    a = article_dates(spark, base)
+    return e.join(a, e.article_id == a.id, "left").select("article_id", "embedding", "date_publication")
 
 
 def query_vectors(spark: SparkSession, base: str) -> DataFrame:
