@@ -1,0 +1,41 @@
+"""The question stream (E-B + K4) run to completion over landed question files."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.sequence import sequence_numbers
+from ..operators.embed import embed
+from ..operators.reports import retrieval_corpus
+from ..session import scratch_path
+from ..sources import star
+from ..sources.tables import Catalog
+from ..streaming import questions as QS
+from .catalog import register
+
+
+def corpus_for(spark, base) -> QS.Corpus:
+    arts = star.articles(spark, base)
+    vecs = embed(retrieval_corpus(arts).select(F.col("id").alias("article_id"), "resume"), "resume")
+    return QS.Corpus(vectors=vecs.select("article_id", "embedding"), dates=star.article_dates(spark, base),
+                     articles=arts, authors=star.authors(spark, base),
+                     article_author=star.article_author(spark, base),
+                     author_affiliation=star.author_affiliation(spark, base),
+                     affiliations=star.affiliations(spark, base))
+
+
+@register("stream_questions")
+def stream_questions(spark, base):
+    # every user turn of the conversations arrives as a question file; the
+    # stream answers them batch by batch and appends to the log (rows only)
+    turns = (Catalog(spark, base).conversations.where(F.col("role") == "user")
+             .select("conv_id", "turn", "text"))
+    q = sequence_numbers(turns, ["conv_id", "turn"], out="qid").select(
+        "qid", F.col("conv_id").alias("user_id"), F.col("text").alias("question"),
+        F.lit(None).cast("int").alias("year_start"), F.lit(None).cast("int").alias("year_end"),
+        F.lit(None).cast("string").alias("author_filter"))
+    src, log = scratch_path(spark, "questions-in"), scratch_path(spark, "message-log")
+    q.repartition(4).write.json(src)
+    query = QS.start(spark, src, log, corpus_for(spark, base), available_now=True, max_files_per_trigger=2)
+    query.awaitTermination()
+    return spark.read.parquet(log)

@@ -6,7 +6,7 @@ import __spark_entry__ as E
 from conftest import SF001
 
 # queries whose builders run jobs while planning (checkpoints): checked separately
-HEAVY = {"star_load_roundtrip", "json_sink_roundtrip"}
+HEAVY = {"star_load_roundtrip", "json_sink_roundtrip", "stream_questions"}
 
 
 def plan_of(df):
