@@ -40,6 +40,10 @@ def sequence_numbers(df: DataFrame, order_cols: list, key: str | None = None,
     w = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))).orderBy("_pid") \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = stats.select(*grp, "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    if not key:
+        # one row per partition: bounded by the partition count, so broadcast
+        # it and keep the numbered rows where they are
+        offsets = F.broadcast(offsets)
     return (tagged.join(offsets, grp)
             .withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_m0") + F.lit(start)).cast("long"))
             .drop("_pid", "_mid", "_m0", "_off"))
