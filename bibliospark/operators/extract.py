@@ -69,33 +69,133 @@ def validate(raw: DataFrame) -> DataFrame:
     Built in stages: each stage materialises values and their JSON kinds as
     columns (or struct fields inside arrays), so every expression references
     small attributes and the plan stays linear in the number of rules."""
+    c = _c
     df = raw.select("seq", "value")
-    df = with_kinds(df, _v=F.try_parse_json(_c("value")))
-    df = with_kinds(df, _resp=vget(_c("_v"), "abstracts-retrieval-response"))
-    resp, resp_k = _c("_resp"), _c("_resp_k")
+    df = with_kinds(df, _v=F.try_parse_json(c("value")))
+    df = with_kinds(df, _resp=vget(c("_v"), "abstracts-retrieval-response"))
+    resp, resp_k = c("_resp"), c("_resp_k")
     df = with_kinds(df,
                     _core=child_if_object(resp, resp_k, "coredata"),
                     _kc=child_if_object(resp, resp_k, "authkeywords"),
                     _sa0=child_if_object(resp, resp_k, "subject-areas"),
                     _au0=child_if_object(resp, resp_k, "authors"),
                     _blk=child_if_object(resp, resp_k, "affiliation"))
-    fields = {f"_f{i}": child_if_object(_c("_core"), _c("_core_k"), key)
+    blk, blk_k = c("_blk"), c("_blk_k")
+    fields = {f"_f{i}": child_if_object(c("_core"), c("_core_k"), key)
               for i, (_, key) in enumerate(CORE_FIELDS)}
-    df = with_kinds(df, **fields,
-                    _sa=child_if_object(_c("_sa0"), _c("_sa0_k"), "subject-area"),
-                    _au=child_if_object(_c("_au0"), _c("_au0_k"), "author"))
+    # independent chains advance together: one projection per dependency level
+    df = df.withColumns({
+        **fields,
+        "_sa": child_if_object(c("_sa0"), c("_sa0_k"), "subject-area"),
+        "_au": child_if_object(c("_au0"), c("_au0_k"), "author"),
+        # the document's affiliation block (J1 lookup table), indexed
+        "_b0": F.transform(as_list(blk, blk_k), lambda e, i: F.struct(
+            i.alias("idx"), (vkind(e) == OBJECT).alias("obj"), vget(e, "@id").alias("id"),
+            vget(e, "affilname").alias("name"), vget(e, "affiliation-country").alias("ctry"))),
+        "_block_bad": blk_k.isin(NULL, NUMBER, BOOLEAN),
+    })
+    df = df.withColumns({
+        **{n + "_k": vkind(c(n)) for n in list(fields) + ["_sa", "_au"]},
+        "_b1": F.transform(c("_b0"), lambda b: F.struct(
+            b["idx"].alias("idx"), b["obj"].alias("obj"),
+            b["id"].alias("id"), vkind(b["id"]).alias("id_k"),
+            b["name"].alias("name"), vkind(b["name"]).alias("name_k"),
+            b["ctry"].alias("ctry"), vkind(b["ctry"]).alias("ctry_k"))),
+    })
     # extract_field keeps only truthy end values
-    df = df.withColumns({name + "_t": F.coalesce(truthy(_c(name), _c(name + "_k")), F.lit(False))
-                         for name in list(fields) + ["_kc", "_sa", "_au"]})
-    df = with_kinds(df, _rk=F.when(_c("_kc_t"), vget(_c("_kc"), "author-keyword")))
+    df = df.withColumns({
+        **{n + "_t": F.coalesce(truthy(c(n), c(n + "_k")), F.lit(False))
+           for n in list(fields) + ["_kc", "_sa", "_au"]},
+        "_block": F.transform(c("_b1"), lambda b: F.struct(
+            b["idx"].alias("idx"), b["obj"].alias("obj"), id_key(b["id"], b["id_k"]).alias("key"),
+            (~b["id_k"].isin(MISSING, NULL, STRING) | ~b["name_k"].isin(MISSING, NULL, STRING)
+             | ~b["ctry_k"].isin(MISSING, NULL, STRING)).alias("bad"),
+            F.struct(string_or(b["id"], b["id_k"], "").alias("scopus_affiliation_id"),
+                     string_or(b["name"], b["name_k"], "").alias("nom_institution"),
+                     string_or(b["ctry"], b["ctry_k"], "").alias("pays")).alias("det"))),
+    })
+    sa, sa_k, sa_t = c("_sa"), c("_sa_k"), c("_sa_t")
+    au, au_k, au_t = c("_au"), c("_au_k"), c("_au_t")
+    df = df.withColumns({
+        "_rk": F.when(c("_kc_t"), vget(c("_kc"), "author-keyword")),
+        "_sa_first": F.when(sa_t & (sa_k == ARRAY), F.get(as_array(sa), 0)),
+        "_a0": F.when(au_t, as_list(au, au_k)).otherwise(_empty()),
+        "_block_bad_idx": F.get(F.filter(c("_block"), lambda e: ~e["obj"]), 0)["idx"],
+    })
+    df = df.withColumns({
+        "_rk_k": vkind(c("_rk")),
+        "_sa_first_k": vkind(c("_sa_first")),
+        "_a1": F.transform(c("_a0"), lambda a: F.struct(
+            (vkind(a) == OBJECT).alias("obj"), vget(a, "@auid").alias("id"), vget(a, "ce:given-name").alias("gn"),
+            vget(a, "ce:surname").alias("sn"), vget(a, "orcid").alias("oc"), vget(a, "affiliation").alias("rf"))),
+    })
+    kct, rk, rk_k = c("_kc_t"), c("_rk"), c("_rk_k")
+    df = df.withColumns({
+        "_kw0": F.when(kct & (rk_k != STRING), as_list(rk, rk_k)).otherwise(_empty()),
+        "_abbrev": F.when(sa_t & (sa_k == OBJECT), vget(sa, "@abbrev"))
+        .when(sa_t & (sa_k == ARRAY) & (c("_sa_first_k") == OBJECT), vget(c("_sa_first"), "@abbrev")),
+        "_a2": F.transform(c("_a1"), lambda x: F.struct(
+            x["obj"].alias("obj"),
+            x["id"].alias("id"), vkind(x["id"]).alias("id_k"),
+            x["gn"].alias("gn"), vkind(x["gn"]).alias("gn_k"),
+            x["sn"].alias("sn"), vkind(x["sn"]).alias("sn_k"),
+            x["oc"].alias("oc"), vkind(x["oc"]).alias("oc_k"),
+            x["rf"].alias("rf"), vkind(x["rf"]).alias("rf_k"))),
+    })
+    df = df.withColumns({
+        "_abbrev_k": vkind(c("_abbrev")),
+        "_kw1": F.transform(c("_kw0"), lambda it: F.struct(
+            (vkind(it) == OBJECT).alias("obj"), vget(it, "$").alias("d"))),
+        "_a3": F.transform(c("_a2"), lambda x: F.struct(
+            x["obj"].alias("obj"), x["id"].alias("id"), x["id_k"].alias("id_k"),
+            py_strip(F.concat(scalar_text(x["gn"], x["gn_k"]), F.lit(" "),
+                              scalar_text(x["sn"], x["sn_k"]))).alias("name"),
+            F.when(x["oc_k"] == STRING, F.try_variant_get(x["oc"], "$", "string"))
+            .when(~x["oc_k"].isin(MISSING, NULL), F.to_json(x["oc"])).alias("orcid"),
+            x["rf_k"].alias("rf_k"),
+            F.transform(as_list(x["rf"], x["rf_k"]), lambda r: F.struct(
+                (vkind(r) == OBJECT).alias("obj"), vget(r, "@id").alias("id"))).alias("refs"))),
+    })
+    df = df.withColumns({
+        "_kw2": F.transform(c("_kw1"), lambda x: F.struct(
+            x["obj"].alias("obj"), x["d"].alias("d"), vkind(x["d"]).alias("dk"))),
+        "_a4": F.transform(c("_a3"), lambda x: x.withField(
+            "refs", F.transform(x["refs"], lambda r: F.struct(
+                r["obj"].alias("obj"), id_key(r["id"], vkind(r["id"])).alias("key"))))),
+    })
+    df = df.withColumn("_a5", F.transform(c("_a4"), lambda x: x.withField(
+        "refs", F.transform(x["refs"], lambda r: F.struct(
+            r["obj"].alias("obj"),
+            F.get(F.filter(c("_block"), lambda e: e["obj"] & e["key"].eqNullSafe(r["key"])), 0).alias("m"))))))
+    bad_idx, block_bad = c("_block_bad_idx"), c("_block_bad")
 
+    def ref_err(r: Column) -> Column:
+        m = r["m"]
+        return (F.when(~r["obj"], F.lit("affiliation ref not an object"))
+                .when(block_bad, F.lit("document affiliation not a list"))
+                .when(bad_idx.isNotNull() & (m.isNull() | (bad_idx < m["idx"])),
+                      F.lit("affiliation entry not an object"))
+                .when(m.isNotNull() & m["bad"], F.lit("affiliation field not a string")))
+
+    df = df.withColumn("_authors", F.transform(c("_a5"), lambda x: F.struct(
+        (F.when(~x["obj"], F.lit("author not an object"))
+         .when(~x["id_k"].isin(MISSING, STRING), F.lit("author id not a string"))
+         .when(x["rf_k"] == NULL, F.lit("author affiliation null"))
+         .when(x["rf_k"].isin(NUMBER, BOOLEAN), F.lit("author affiliation not a list"))
+         .otherwise(_first_non_null(F.transform(x["refs"], ref_err)))).alias("err"),
+        F.coalesce(py_strip(F.try_variant_get(x["id"], "$", "string")), F.lit("")).alias("scopus_author_id"),
+        x["name"].alias("nom_complet"),
+        x["orcid"].alias("orcid"),
+        F.transform(F.filter(x["refs"], lambda r: r["m"].isNotNull()), lambda r: r["m"]["det"]).alias("affiliations"))))
+
+    # rejection rules in the order the reference meets them
     errs: list[Column] = [
-        F.when(_c("value").isNotNull() & _c("_v").isNull(), F.lit("malformed json")),
-        F.when(_c("_v").isNotNull() & (_c("_v_k") != OBJECT), F.lit("top level not an object")),
+        F.when(c("value").isNotNull() & c("_v").isNull(), F.lit("malformed json")),
+        F.when(c("_v").isNotNull() & (c("_v_k") != OBJECT), F.lit("top level not an object")),
     ]
     cols: dict[str, Column] = {}
     for i, (out, key) in enumerate(CORE_FIELDS):
-        f, fk, ft = _c(f"_f{i}"), _c(f"_f{i}_k"), _c(f"_f{i}_t")
+        f, fk, ft = c(f"_f{i}"), c(f"_f{i}_k"), c(f"_f{i}_t")
         errs.append(F.when(ft & (fk != STRING), F.lit(f"{key} not a string")))
         val = F.when(ft & (fk == STRING), py_strip(F.try_variant_get(f, "$", "string"))).otherwise(F.lit(""))
         if out == "scopus_id":
@@ -103,108 +203,30 @@ def validate(raw: DataFrame) -> DataFrame:
         cols[out] = val
 
     # keywords (P3/P4)
-    kct, rk, rk_k = _c("_kc_t"), _c("_rk"), _c("_rk_k")
     errs += [
-        F.when(kct & (_c("_kc_k") != OBJECT), F.lit("authkeywords not an object")),
+        F.when(kct & (c("_kc_k") != OBJECT), F.lit("authkeywords not an object")),
         F.when(kct & (rk_k == NULL), F.lit("author-keyword null")),
         F.when(kct & rk_k.isin(NUMBER, BOOLEAN), F.lit("author-keyword not a list")),
+        F.when(F.exists(c("_kw2"), lambda x: x["obj"] & ~x["dk"].isin(MISSING, STRING)),
+               F.lit("keyword value not a string")),
     ]
-    df = df.withColumn("_kw0", F.when(kct & (rk_k != STRING), as_list(rk, rk_k)).otherwise(_empty()))
-    df = df.withColumn("_kw1", F.transform(_c("_kw0"), lambda it: F.struct(
-        (vkind(it) == OBJECT).alias("obj"), vget(it, "$").alias("d"))))
-    df = df.withColumn("_kw2", F.transform(_c("_kw1"), lambda x: F.struct(
-        x["obj"].alias("obj"), x["d"].alias("d"), vkind(x["d"]).alias("dk"))))
-    errs.append(F.when(F.exists(_c("_kw2"), lambda x: x["obj"] & ~x["dk"].isin(MISSING, STRING)),
-                       F.lit("keyword value not a string")))
-    from_list = F.transform(F.filter(_c("_kw2"), lambda x: x["obj"]),
+    from_list = F.transform(F.filter(c("_kw2"), lambda x: x["obj"]),
                             lambda x: F.coalesce(py_strip(F.try_variant_get(x["d"], "$", "string")), F.lit("")))
     from_str = F.array(py_strip(F.try_variant_get(rk, "$", "string")))
     kws = F.when(kct & (rk_k == STRING), from_str).otherwise(from_list)
     cols["mots_cles"] = F.filter(kws, lambda k: k != "")
 
     # research domain (P5)
-    sa, sa_k, sa_t = _c("_sa"), _c("_sa_k"), _c("_sa_t")
-    df = with_kinds(df, _sa_first=F.when(sa_t & (sa_k == ARRAY), F.get(as_array(sa), 0)))
-    df = with_kinds(df, _abbrev=F.when(sa_t & (sa_k == OBJECT), vget(sa, "@abbrev"))
-                    .when(sa_t & (sa_k == ARRAY) & (_c("_sa_first_k") == OBJECT), vget(_c("_sa_first"), "@abbrev")))
-    errs.append(F.when(sa_t & (sa_k == ARRAY) & (_c("_sa_first_k") != OBJECT),
+    errs.append(F.when(sa_t & (sa_k == ARRAY) & (c("_sa_first_k") != OBJECT),
                        F.lit("first subject-area not an object")))
-    errs.append(F.when(~_c("_abbrev_k").isin(MISSING, NULL, STRING), F.lit("subject abbrev not a string")))
+    errs.append(F.when(~c("_abbrev_k").isin(MISSING, NULL, STRING), F.lit("subject abbrev not a string")))
     cols["domaine_recherche"] = F.coalesce(
-        F.when(_c("_abbrev_k") == STRING, F.try_variant_get(_c("_abbrev"), "$", "string")), F.lit(""))
-
-    # the document's affiliation block (J1 lookup table), indexed
-    blk, blk_k = _c("_blk"), _c("_blk_k")
-    df = df.withColumn("_b0", F.transform(as_list(blk, blk_k), lambda e, i: F.struct(
-        i.alias("idx"), (vkind(e) == OBJECT).alias("obj"), vget(e, "@id").alias("id"),
-        vget(e, "affilname").alias("name"), vget(e, "affiliation-country").alias("ctry"))))
-    df = df.withColumn("_b1", F.transform(_c("_b0"), lambda b: F.struct(
-        b["idx"].alias("idx"), b["obj"].alias("obj"),
-        b["id"].alias("id"), vkind(b["id"]).alias("id_k"),
-        b["name"].alias("name"), vkind(b["name"]).alias("name_k"),
-        b["ctry"].alias("ctry"), vkind(b["ctry"]).alias("ctry_k"))))
-    df = df.withColumn("_block", F.transform(_c("_b1"), lambda b: F.struct(
-        b["idx"].alias("idx"), b["obj"].alias("obj"), id_key(b["id"], b["id_k"]).alias("key"),
-        (~b["id_k"].isin(MISSING, NULL, STRING) | ~b["name_k"].isin(MISSING, NULL, STRING)
-         | ~b["ctry_k"].isin(MISSING, NULL, STRING)).alias("bad"),
-        F.struct(string_or(b["id"], b["id_k"], "").alias("scopus_affiliation_id"),
-                 string_or(b["name"], b["name_k"], "").alias("nom_institution"),
-                 string_or(b["ctry"], b["ctry_k"], "").alias("pays")).alias("det"))))
-    df = df.withColumn("_block_bad", blk_k.isin(NULL, NUMBER, BOOLEAN))
-    df = df.withColumn("_block_bad_idx", F.get(F.filter(_c("_block"), lambda e: ~e["obj"]), 0)["idx"])
+        F.when(c("_abbrev_k") == STRING, F.try_variant_get(c("_abbrev"), "$", "string")), F.lit(""))
 
     # authors (P6) and their affiliations
-    au, au_k, au_t = _c("_au"), _c("_au_k"), _c("_au_t")
     errs.append(F.when(au_t & au_k.isin(NUMBER, BOOLEAN), F.lit("author not a list")))
-    df = df.withColumn("_a0", F.when(au_t, as_list(au, au_k)).otherwise(_empty()))
-    df = df.withColumn("_a1", F.transform(_c("_a0"), lambda a: F.struct(
-        (vkind(a) == OBJECT).alias("obj"), vget(a, "@auid").alias("id"), vget(a, "ce:given-name").alias("gn"),
-        vget(a, "ce:surname").alias("sn"), vget(a, "orcid").alias("oc"), vget(a, "affiliation").alias("rf"))))
-    df = df.withColumn("_a2", F.transform(_c("_a1"), lambda x: F.struct(
-        x["obj"].alias("obj"),
-        x["id"].alias("id"), vkind(x["id"]).alias("id_k"),
-        x["gn"].alias("gn"), vkind(x["gn"]).alias("gn_k"),
-        x["sn"].alias("sn"), vkind(x["sn"]).alias("sn_k"),
-        x["oc"].alias("oc"), vkind(x["oc"]).alias("oc_k"),
-        x["rf"].alias("rf"), vkind(x["rf"]).alias("rf_k"))))
-    df = df.withColumn("_a3", F.transform(_c("_a2"), lambda x: F.struct(
-        x["obj"].alias("obj"), x["id"].alias("id"), x["id_k"].alias("id_k"),
-        py_strip(F.concat(scalar_text(x["gn"], x["gn_k"]), F.lit(" "),
-                          scalar_text(x["sn"], x["sn_k"]))).alias("name"),
-        F.when(x["oc_k"] == STRING, F.try_variant_get(x["oc"], "$", "string"))
-        .when(~x["oc_k"].isin(MISSING, NULL), F.to_json(x["oc"])).alias("orcid"),
-        x["rf_k"].alias("rf_k"),
-        F.transform(as_list(x["rf"], x["rf_k"]), lambda r: F.struct(
-            (vkind(r) == OBJECT).alias("obj"), vget(r, "@id").alias("id"))).alias("refs"))))
-    df = df.withColumn("_a4", F.transform(_c("_a3"), lambda x: x.withField(
-        "refs", F.transform(x["refs"], lambda r: F.struct(
-            r["obj"].alias("obj"), id_key(r["id"], vkind(r["id"])).alias("key"))))))
-    df = df.withColumn("_a5", F.transform(_c("_a4"), lambda x: x.withField(
-        "refs", F.transform(x["refs"], lambda r: F.struct(
-            r["obj"].alias("obj"),
-            F.get(F.filter(_c("_block"), lambda e: e["obj"] & e["key"].eqNullSafe(r["key"])), 0).alias("m"))))))
-    bad_idx, block_bad = _c("_block_bad_idx"), _c("_block_bad")
-
-    def ref_err(r: Column) -> Column:
-        m = r["m"]
-        return (F.when(~r["obj"], F.lit("affiliation ref not an object"))
-                .when(block_bad, F.lit("document affiliation not a list"))
-                .when(bad_idx.isNotNull() & (m.isNull() | (bad_idx < m["idx"])),
-                      F.lit("affiliation entry not an object"))
-                .when(m.isNotNull() & m["bad"], F.lit("affiliation field not a string")))
-
-    df = df.withColumn("_authors", F.transform(_c("_a5"), lambda x: F.struct(
-        (F.when(~x["obj"], F.lit("author not an object"))
-         .when(~x["id_k"].isin(MISSING, STRING), F.lit("author id not a string"))
-         .when(x["rf_k"] == NULL, F.lit("author affiliation null"))
-         .when(x["rf_k"].isin(NUMBER, BOOLEAN), F.lit("author affiliation not a list"))
-         .otherwise(_first_non_null(F.transform(x["refs"], ref_err)))).alias("err"),
-        F.coalesce(py_strip(F.try_variant_get(x["id"], "$", "string")), F.lit("")).alias("scopus_author_id"),
-        x["name"].alias("nom_complet"),
-        x["orcid"].alias("orcid"),
-        F.transform(F.filter(x["refs"], lambda r: r["m"].isNotNull()), lambda r: r["m"]["det"]).alias("affiliations"))))
-    errs.append(_first_non_null(F.transform(_c("_authors"), lambda x: x["err"])))
-    cols["auteurs"] = F.transform(_c("_authors"), lambda x: F.struct(
+    errs.append(_first_non_null(F.transform(c("_authors"), lambda x: x["err"])))
+    cols["auteurs"] = F.transform(c("_authors"), lambda x: F.struct(
         x["scopus_author_id"].alias("scopus_author_id"), x["nom_complet"].alias("nom_complet"),
         x["orcid"].alias("orcid"), x["affiliations"].alias("affiliations")))
 
