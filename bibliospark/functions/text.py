@@ -17,8 +17,7 @@ PY_WHITESPACE_CODEPOINTS = (
     0x2008, 0x2009, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 )
 
-_WS_CLASS = "".join(f"\\x{{{cp:04X}}}" for cp in PY_WHITESPACE_CODEPOINTS)
-_STRIP_RE = f"^[{_WS_CLASS}]+|[{_WS_CLASS}]+$"
+PY_WHITESPACE = "".join(chr(cp) for cp in PY_WHITESPACE_CODEPOINTS)
 
 
 def col_(c) -> Column:
@@ -28,10 +27,12 @@ def col_(c) -> Column:
 def py_strip(c) -> Column:
     """Python ``str.strip()`` (all Unicode whitespace), null stays null.
 
-    ``F.trim`` strips spaces only, and Java's ``\\s`` misses most of the
-    Unicode space characters, hence the explicit class.
+    ``F.trim`` without a set strips spaces only, and Java's ``\\s`` misses most
+    of the Unicode space characters, hence the explicit set. ``trim`` with a
+    set compares whole code points and touches only the two ends, so it costs
+    nothing on long texts (a regex scans the whole string).
     """
-    return F.regexp_replace(col_(c), _STRIP_RE, "")
+    return F.trim(col_(c), F.lit(PY_WHITESPACE))
 
 
 def blank_if_null(c) -> Column:
