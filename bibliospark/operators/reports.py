@@ -151,6 +151,41 @@ def authors_and_affiliations(hits: DataFrame, authors: DataFrame, article_author
     )
 
 
+def author_list(articles: DataFrame, authors: DataFrame, article_author: DataFrame,
+                author_affiliation: DataFrame, affiliations: DataFrame) -> DataFrame:
+    """A9 for every article: the J5 rows of each article (one per author and
+    affiliation, duplicates kept) as an ordered list in exploded form,
+    ``pos`` = 1.. in (name, institution, country) order.
+
+    The list is numbered rather than collected: ``sequence_numbers`` spreads
+    an article with a huge author list over many tasks, where a
+    ``collect_list`` would hold it in one value."""
+    from ..functions.sequence import sequence_numbers
+    rows = authors_and_affiliations(articles.select("article_id"), authors, article_author,
+                                    author_affiliation, affiliations)
+    return sequence_numbers(rows, ["nom_complet", "institution", "country"], key="article_id", out="pos")
+
+
+def articles_by_year_and_author(articles: DataFrame, authors: DataFrame, article_author: DataFrame,
+                                year_start, year_end, needle: str | None) -> DataFrame:
+    """P14 + P15 applied to the whole corpus rather than to a hit list:
+    articles whose year passes the inclusive, null-tolerant range and that
+    have an author whose name contains ``needle`` (case-insensitive; an empty
+    needle keeps every article; a NULL name never matches, Q18).
+
+    ``articles``: (article_id, date_publication). The matching articles are
+    found by a semi join against the bridge, so no author list is built."""
+    from ..functions.text import contains_ci, year_passes
+    out = articles.where(year_passes(year_of("date_publication"), year_start, year_end))
+    if not needle:
+        return out
+    names = authors.where(F.coalesce(contains_ci("nom_complet", needle), F.lit(False))).select(
+        F.col("id").alias("_aid"))
+    bridge = article_author.select(F.col("article_id").alias("_art"), F.col("auteur_id").alias("_au"))
+    matching = bridge.join(names, F.col("_au") == F.col("_aid"), "left_semi")
+    return out.join(matching, F.col("article_id") == F.col("_art"), "left_semi")
+
+
 def retrieval_corpus(articles: DataFrame, drop_blank: bool = False) -> DataFrame:
     """S4 + P11 + P22: the articles that can be embedded: abstract NOT NULL
     (a blank abstract passes unless ``drop_blank``)."""

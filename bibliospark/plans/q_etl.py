@@ -97,6 +97,28 @@ def extract_keywords(spark, base):
         "seq", F.col("k_pos").cast("long").alias("k_pos"), "keyword")
 
 
+@register("extract_domain", f"""
+SELECT o.o_orderkey AS seq, coalesce(d.source, '') AS domaine_recherche
+FROM orders o LEFT JOIN documents d ON d.doc_id = o.o_orderkey
+WHERE NOT {_REJECTED}""")
+def extract_domain(spark, base):
+    # P5: an object's abbreviation, the first of a list, '' when absent
+    return _clean(spark, base).select("seq", "domaine_recherche")
+
+
+@register("keywords_to_string", f"""
+WITH {_LINES.strip()},
+kw AS (SELECT seq, string_agg({sql_strip('p_type')}, ', ' ORDER BY a_pos) AS mots_cles
+       FROM lines WHERE {sql_strip('p_type')} <> '' GROUP BY seq)
+SELECT o.o_orderkey AS seq, coalesce(kw.mots_cles, '') AS mots_cles
+FROM orders o LEFT JOIN kw ON kw.seq = o.o_orderkey
+WHERE NOT {_REJECTED}""")
+def keywords_to_string(spark, base):
+    # The loader's keyword list joined by ", " (one string per article)
+    from ..operators.normalize import article_rows
+    return article_rows(_clean(spark, base)).select("seq", "mots_cles")
+
+
 @register("extract_rejects", """
 SELECT reason, n FROM (
   SELECT 'dc:title not a string' AS reason, count(*) AS n FROM orders

@@ -135,3 +135,86 @@ FROM articles WHERE resume IS NOT NULL""", "articles"))
 def retrieval_corpus(spark, base):
     # S4 + P11 + P22: the 9-column corpus projection of articles with an abstract
     return R.retrieval_corpus(star.articles(spark, base))
+
+
+@register("article_authors_affils_batch", with_views("""
+SELECT aa.article_id, a.nom_complet,
+       coalesce(nullif(af.nom_institution, ''), 'Institution inconnue') AS institution,
+       coalesce(nullif(af.pays, ''), 'Pays inconnu') AS country,
+       row_number() OVER (PARTITION BY aa.article_id
+                          ORDER BY a.nom_complet, institution, country) AS pos
+FROM article_author aa
+JOIN authors a ON a.id = aa.auteur_id
+LEFT JOIN author_affiliation x ON a.id = x.auteur_id
+LEFT JOIN affiliations af ON x.affiliation_id = af.id""",
+    "authors", "article_author", "author_affiliation", "affiliations"))
+def article_authors_affils_batch(spark, base):
+    # J5 + A9 for every article of the corpus: its author lines as an ordered list
+    arts = star.article_dates(spark, base).select(F.col("id").alias("article_id"))
+    return R.author_list(arts, star.authors(spark, base), star.article_author(spark, base),
+                         star.author_affiliation(spark, base), star.affiliations(spark, base))
+
+
+# A6/K6 over the line mentions: a line of an order not yet returned ('N') names
+# no affiliation yet, so an author's first mentions may carry none.
+@register("primary_affiliation", """
+WITH m AS (
+  SELECT l_partkey AS auteur_id, CASE WHEN l_returnflag <> 'N' THEN l_suppkey END AS affiliation_id,
+         l_orderkey, l_linenumber, l_suppkey
+  FROM lineitem),
+f AS (
+  SELECT auteur_id, affiliation_id,
+         row_number() OVER (PARTITION BY auteur_id ORDER BY l_orderkey, l_linenumber, l_suppkey) AS r
+  FROM m WHERE affiliation_id IS NOT NULL)
+SELECT a.auteur_id, f.affiliation_id AS affiliation_principale
+FROM (SELECT DISTINCT auteur_id FROM m) a
+LEFT JOIN f ON f.auteur_id = a.auteur_id AND f.r = 1""")
+def primary_affiliation(spark, base):
+    from ..operators.normalize import primary_affiliation as primary
+    from ..sources.tables import Catalog
+    li = Catalog(spark, base).lineitem
+    mentions = li.select(F.col("l_partkey").alias("auteur_id"),
+                         F.when(F.col("l_returnflag") != "N", F.col("l_suppkey")).alias("affiliation_id"),
+                         "l_orderkey", "l_linenumber", "l_suppkey")
+    return primary(mentions, order=("l_orderkey", "l_linenumber", "l_suppkey"))
+
+
+@register("clean_to_blank", with_views(f"""
+SELECT id,
+       coalesce({sql_strip('titre')}, '') AS titre,
+       coalesce({sql_strip('resume')}, '') AS resume,
+       coalesce({sql_strip('date_publication')}, '') AS date_publication,
+       coalesce({sql_strip('revue')}, '') AS revue,
+       coalesce({sql_strip('doi')}, '') AS doi,
+       coalesce({sql_strip('domaine_recherche')}, '') AS domaine_recherche
+FROM articles""", "articles"))
+def clean_to_blank(spark, base):
+    # The loader's (x or "").strip() on every text field of the articles
+    from ..functions.text import blank_if_null
+    a = star.articles(spark, base)
+    fields = ["titre", "resume", "date_publication", "revue", "doi", "domaine_recherche"]
+    return a.select("id", *[blank_if_null(c).alias(c) for c in fields])
+
+
+# P14 + P15 corpus-wide: articles of an inclusive year range (unknown years
+# pass) with an author whose name contains the needle (NULL names never match).
+FILTER_YEARS = (1997, 1998)
+FILTER_NEEDLE = "red"
+
+
+@register("author_year_filter", with_views(f"""
+SELECT a.id AS article_id, a.date_publication
+FROM articles a
+WHERE (({sql_year_of('a.date_publication')}) IS NULL OR ({sql_year_of('a.date_publication')}) = 0
+       OR ({sql_year_of('a.date_publication')}) BETWEEN {FILTER_YEARS[0]} AND {FILTER_YEARS[1]})
+  AND EXISTS (SELECT 1 FROM article_author aa JOIN authors au ON au.id = aa.auteur_id
+              WHERE aa.article_id = a.id
+                AND coalesce(contains(lower(au.nom_complet), lower('{FILTER_NEEDLE}')), false))""",
+    "articles", "article_author", "authors"))
+def author_year_filter(spark, base):
+    from ..operators.retrieval import check_year_bound
+    lo = check_year_bound(str(FILTER_YEARS[0]), lo=1900, hi=2100)
+    hi = check_year_bound(str(FILTER_YEARS[1]), lo=1900, hi=2100)
+    arts = star.article_dates(spark, base).select(F.col("id").alias("article_id"), "date_publication")
+    return R.articles_by_year_and_author(arts, star.authors(spark, base), star.article_author(spark, base),
+                                         lo, hi, FILTER_NEEDLE)

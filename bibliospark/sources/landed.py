@@ -110,7 +110,7 @@ def documents_from_tables(spark: SparkSession, base: str) -> DataFrame:
     so the reject path is exercised on real rows."""
     cat = Catalog(spark, base)
     o = cat.orders.select("o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
-    d = cat.documents.select("doc_id", "text", "source")
+    d = cat.documents.select("doc_id", "text", "source", "lang")
     p = cat.part.select("p_partkey", "p_name", "p_type", "p_brand")
     s = cat.supplier.select("s_suppkey", "s_name", "s_nationkey")
     n = cat.nation.select("n_nationkey", "n_name")
@@ -157,8 +157,15 @@ def documents_from_tables(spark: SparkSession, base: str) -> DataFrame:
     core = F.concat(F.expr("substring(_core, 1, length(_core) - 1)"), F.lit(',"dc:title":'), title, F.lit("}"))
     kw_json = (F.when(null_kw, F.lit("null"))
                .when(has_lines, _one_or_many(kws)).otherwise(F.lit('""')))
+    # subject areas: a bare object for finished orders, the domain followed by
+    # the document language for open ones, a one-element list otherwise
+    area = F.concat(F.lit('{"@abbrev":'), _quoted(F.col("source")), F.lit("}"))
+    second = F.concat(F.lit('{"@abbrev":'), _quoted(F.coalesce(F.col("lang"), F.lit(""))), F.lit("}"))
+    areas = (F.when(F.col("o_orderstatus") == "F", area)
+             .when(F.col("o_orderstatus") == "O", F.concat(F.lit("["), area, F.lit(","), second, F.lit("]")))
+             .otherwise(F.concat(F.lit("["), area, F.lit("]"))))
     subject = F.when(F.col("source").isNotNull(), F.concat(
-        F.lit(',"subject-areas":{"subject-area":[{"@abbrev":'), _quoted(F.col("source")), F.lit("}]}")))
+        F.lit(',"subject-areas":{"subject-area":'), areas, F.lit("}")))
     doc = F.concat(
         F.lit('{"abstracts-retrieval-response":{"coredata":'), F.col("_coredata"),
         F.lit(',"authkeywords":{"author-keyword":'), kw_json, F.lit("}"),
