@@ -40,6 +40,7 @@ CLEAN_COLUMNS = ["seq", "scopus_id", "titre", "resume", "date_publication", "rev
 # The prefix removed from document identifiers, and the
 # coredata keys read into the clean article, in reading order.
 ID_PREFIX = "SCOPUS_ID:"
+RESPONSE = "abstracts-retrieval-response"
 CORE_FIELDS = (
     ("scopus_id", "dc:identifier"),
     ("titre", "dc:title"),
@@ -72,22 +73,21 @@ def validate(raw: DataFrame) -> DataFrame:
     c = _c
     df = raw.select("seq", "value")
     df = with_kinds(df, _v=F.try_parse_json(c("value")))
-    df = with_kinds(df, _resp=vget(c("_v"), "abstracts-retrieval-response"))
-    resp, resp_k = c("_resp"), c("_resp_k")
+    # P1's walk reads every value by its full path from the root: a step
+    # through a non-object gives NULL, exactly as the key-by-key walk does,
+    # and no intermediate object (the response, its coredata, the author
+    # wrapper) is copied out of the document on the way.
+    root = c("_v")
+    fields = {f"_f{i}": vget(root, RESPONSE, "coredata", key) for i, (_, key) in enumerate(CORE_FIELDS)}
     df = with_kinds(df,
-                    _core=child_if_object(resp, resp_k, "coredata"),
-                    _kc=child_if_object(resp, resp_k, "authkeywords"),
-                    _sa0=child_if_object(resp, resp_k, "subject-areas"),
-                    _au0=child_if_object(resp, resp_k, "authors"),
-                    _blk=child_if_object(resp, resp_k, "affiliation"))
+                    _kc=vget(root, RESPONSE, "authkeywords"),
+                    _blk=vget(root, RESPONSE, "affiliation"))
     blk, blk_k = c("_blk"), c("_blk_k")
-    fields = {f"_f{i}": child_if_object(c("_core"), c("_core_k"), key)
-              for i, (_, key) in enumerate(CORE_FIELDS)}
     # independent chains advance together: one projection per dependency level
     df = df.withColumns({
         **fields,
-        "_sa": child_if_object(c("_sa0"), c("_sa0_k"), "subject-area"),
-        "_au": child_if_object(c("_au0"), c("_au0_k"), "author"),
+        "_sa": vget(root, RESPONSE, "subject-areas", "subject-area"),
+        "_au": vget(root, RESPONSE, "authors", "author"),
         # the document's affiliation block (J1 lookup table), indexed
         "_b0": F.transform(as_list(blk, blk_k), lambda e, i: F.struct(
             i.alias("idx"), (vkind(e) == OBJECT).alias("obj"), vget(e, "@id").alias("id"),

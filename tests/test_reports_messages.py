@@ -83,3 +83,44 @@ def test_delete_owner_guard_search_append(spark):
     out = M.append_messages(m, new, order_cols=["o"])
     row = out.where("id = 5").first()
     assert row.user_id == 7 and row.created_at is not None
+
+
+def test_primary_affiliation_skips_mentions_without_one(spark):
+    from bibliospark.operators.normalize import primary_affiliation
+    # author 1: first two mentions carry no affiliation, the third wins over a later one
+    m = spark.createDataFrame(
+        [(1, None, 1, 0, 0), (1, None, 1, 1, 0), (1, 30, 2, 0, 1), (1, 20, 3, 0, 0),
+         (2, None, 1, 0, 0), (3, 40, 5, 0, 0), (3, 10, 5, 0, 1)],
+        "auteur_id long, affiliation_id long, seq long, a_pos long, f_pos long")
+    got = {r.auteur_id: r.affiliation_principale for r in primary_affiliation(m).collect()}
+    assert got == {1: 30, 2: None, 3: 40}
+
+
+def test_author_list_is_ordered_bag(spark):
+    authors = spark.createDataFrame([(1, "Zed"), (2, "Ann")], "id long, nom_complet string")
+    bridge = spark.createDataFrame([(10, 1), (10, 2), (10, 2), (11, 1)], "article_id long, auteur_id long")
+    aa = spark.createDataFrame([(1, 100), (2, 101)], "auteur_id long, affiliation_id long")
+    aff = spark.createDataFrame([(100, "Uni", ""), (101, "", "FR")], "id long, nom_institution string, pays string")
+    arts = spark.createDataFrame([(10,), (11,), (12,)], "article_id long")
+    got = sorted((r.article_id, r.pos, r.nom_complet, r.institution, r.country)
+                 for r in R.author_list(arts, authors, bridge, aa, aff).collect())
+    assert got == [
+        (10, 1, "Ann", "Institution inconnue", "FR"),
+        (10, 2, "Ann", "Institution inconnue", "FR"),  # the repeated bridge row repeats
+        (10, 3, "Zed", "Uni", "Pays inconnu"),
+        (11, 1, "Zed", "Uni", "Pays inconnu"),
+    ]
+
+
+def test_articles_by_year_and_author(spark):
+    arts = spark.createDataFrame(
+        [(1, "1997-02-01"), (2, "1999-01-01"), (3, "n.d."), (4, "0000-01-01"), (5, "1998"), (6, None)],
+        "article_id long, date_publication string")
+    authors = spark.createDataFrame([(1, "Fred"), (2, None), (3, "Bob")], "id long, nom_complet string")
+    bridge = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 1), (5, 3), (6, 1), (6, 2)],
+                                   "article_id long, auteur_id long")
+    ids = lambda df: sorted(r.article_id for r in df.collect())
+    # 2 is outside the range; 3 only has a NULL name (a non-match); 5 has no match
+    assert ids(R.articles_by_year_and_author(arts, authors, bridge, 1997, 1998, "RED")) == [1, 4, 6]
+    assert ids(R.articles_by_year_and_author(arts, authors, bridge, 1997, 1998, "")) == [1, 3, 4, 5, 6]
+    assert ids(R.articles_by_year_and_author(arts, authors, bridge, None, None, "bob")) == [5]
