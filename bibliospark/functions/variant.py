@@ -53,6 +53,21 @@ def vkind(v: Column) -> Column:
             .otherwise(F.lit(NUMBER)))
 
 
+# kind by the head of schema_of_variant's answer; other heads are numbers
+_SCHEMA_HEADS = (("VOID", NULL), ("STRING", STRING), ("BOOLEAN", BOOLEAN), ("OBJECT", OBJECT), ("ARRAY", ARRAY))
+
+
+def vkind_leaf(v: Column) -> Column:
+    """``vkind`` for values expected to be scalars (an id, a name, a keyword):
+    one ``schema_of_variant`` call, looked up by its head (``VOID`` is JSON
+    null, every numeric schema is a number). It walks the value, so it is
+    not for whole documents or lists; ``vkind`` is."""
+    heads = F.create_map(*[F.lit(x) for pair in _SCHEMA_HEADS for x in pair])
+    head = F.substring_index(F.schema_of_variant(v), "<", 1)
+    return F.when(v.isNull(), F.lit(MISSING)).otherwise(
+        F.coalesce(F.element_at(heads, head), F.lit(NUMBER)))
+
+
 def truthy(v: Column, k: Column) -> Column:
     """Python truthiness of a JSON value of kind ``k``: missing, null, '', 0,
     false, [] and {} are falsy."""

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.text import norm_title, py_strip
 from ..functions.variant import (
     ARRAY, BOOLEAN, MISSING, NULL, NUMBER, OBJECT, STRING,
-    as_array, as_list, child_if_object, id_key, scalar_text, string_or, truthy, vget, vkind,
+    as_array, as_list, id_key, is_object, scalar_text, string_or, truthy, vget, vkind, vkind_leaf,
     with_kinds,
 )
 
@@ -90,17 +90,18 @@ def validate(raw: DataFrame) -> DataFrame:
         "_au": vget(root, RESPONSE, "authors", "author"),
         # the document's affiliation block (J1 lookup table), indexed
         "_b0": F.transform(as_list(blk, blk_k), lambda e, i: F.struct(
-            i.alias("idx"), (vkind(e) == OBJECT).alias("obj"), vget(e, "@id").alias("id"),
+            i.alias("idx"), is_object(e).alias("obj"), vget(e, "@id").alias("id"),
             vget(e, "affilname").alias("name"), vget(e, "affiliation-country").alias("ctry"))),
         "_block_bad": blk_k.isin(NULL, NUMBER, BOOLEAN),
     })
     df = df.withColumns({
-        **{n + "_k": vkind(c(n)) for n in list(fields) + ["_sa", "_au"]},
+        **{n + "_k": vkind_leaf(c(n)) for n in fields},
+        **{n + "_k": vkind(c(n)) for n in ["_sa", "_au"]},
         "_b1": F.transform(c("_b0"), lambda b: F.struct(
             b["idx"].alias("idx"), b["obj"].alias("obj"),
-            b["id"].alias("id"), vkind(b["id"]).alias("id_k"),
-            b["name"].alias("name"), vkind(b["name"]).alias("name_k"),
-            b["ctry"].alias("ctry"), vkind(b["ctry"]).alias("ctry_k"))),
+            b["id"].alias("id"), vkind_leaf(b["id"]).alias("id_k"),
+            b["name"].alias("name"), vkind_leaf(b["name"]).alias("name_k"),
+            b["ctry"].alias("ctry"), vkind_leaf(b["ctry"]).alias("ctry_k"))),
     })
     # extract_field keeps only truthy end values
     df = df.withColumns({
@@ -126,7 +127,7 @@ def validate(raw: DataFrame) -> DataFrame:
         "_rk_k": vkind(c("_rk")),
         "_sa_first_k": vkind(c("_sa_first")),
         "_a1": F.transform(c("_a0"), lambda a: F.struct(
-            (vkind(a) == OBJECT).alias("obj"), vget(a, "@auid").alias("id"), vget(a, "ce:given-name").alias("gn"),
+            is_object(a).alias("obj"), vget(a, "@auid").alias("id"), vget(a, "ce:given-name").alias("gn"),
             vget(a, "ce:surname").alias("sn"), vget(a, "orcid").alias("oc"), vget(a, "affiliation").alias("rf"))),
     })
     kct, rk, rk_k = c("_kc_t"), c("_rk"), c("_rk_k")
@@ -136,16 +137,16 @@ def validate(raw: DataFrame) -> DataFrame:
         .when(sa_t & (sa_k == ARRAY) & (c("_sa_first_k") == OBJECT), vget(c("_sa_first"), "@abbrev")),
         "_a2": F.transform(c("_a1"), lambda x: F.struct(
             x["obj"].alias("obj"),
-            x["id"].alias("id"), vkind(x["id"]).alias("id_k"),
-            x["gn"].alias("gn"), vkind(x["gn"]).alias("gn_k"),
-            x["sn"].alias("sn"), vkind(x["sn"]).alias("sn_k"),
-            x["oc"].alias("oc"), vkind(x["oc"]).alias("oc_k"),
-            x["rf"].alias("rf"), vkind(x["rf"]).alias("rf_k"))),
+            x["id"].alias("id"), vkind_leaf(x["id"]).alias("id_k"),
+            x["gn"].alias("gn"), vkind_leaf(x["gn"]).alias("gn_k"),
+            x["sn"].alias("sn"), vkind_leaf(x["sn"]).alias("sn_k"),
+            x["oc"].alias("oc"), vkind_leaf(x["oc"]).alias("oc_k"),
+            x["rf"].alias("rf"), vkind_leaf(x["rf"]).alias("rf_k"))),
     })
     df = df.withColumns({
         "_abbrev_k": vkind(c("_abbrev")),
         "_kw1": F.transform(c("_kw0"), lambda it: F.struct(
-            (vkind(it) == OBJECT).alias("obj"), vget(it, "$").alias("d"))),
+            is_object(it).alias("obj"), vget(it, "$").alias("d"))),
         "_a3": F.transform(c("_a2"), lambda x: F.struct(
             x["obj"].alias("obj"), x["id"].alias("id"), x["id_k"].alias("id_k"),
             py_strip(F.concat(scalar_text(x["gn"], x["gn_k"]), F.lit(" "),
@@ -154,14 +155,14 @@ def validate(raw: DataFrame) -> DataFrame:
             .when(~x["oc_k"].isin(MISSING, NULL), F.to_json(x["oc"])).alias("orcid"),
             x["rf_k"].alias("rf_k"),
             F.transform(as_list(x["rf"], x["rf_k"]), lambda r: F.struct(
-                (vkind(r) == OBJECT).alias("obj"), vget(r, "@id").alias("id"))).alias("refs"))),
+                is_object(r).alias("obj"), vget(r, "@id").alias("id"))).alias("refs"))),
     })
     df = df.withColumns({
         "_kw2": F.transform(c("_kw1"), lambda x: F.struct(
-            x["obj"].alias("obj"), x["d"].alias("d"), vkind(x["d"]).alias("dk"))),
+            x["obj"].alias("obj"), x["d"].alias("d"), vkind_leaf(x["d"]).alias("dk"))),
         "_a4": F.transform(c("_a3"), lambda x: x.withField(
             "refs", F.transform(x["refs"], lambda r: F.struct(
-                r["obj"].alias("obj"), id_key(r["id"], vkind(r["id"])).alias("key"))))),
+                r["obj"].alias("obj"), id_key(r["id"], vkind_leaf(r["id"])).alias("key"))))),
     })
     df = df.withColumn("_a5", F.transform(c("_a4"), lambda x: x.withField(
         "refs", F.transform(x["refs"], lambda r: F.struct(
