@@ -30,8 +30,27 @@ from .tables import Catalog
 
 def articles(spark: SparkSession, base: str) -> DataFrame:
     cat = Catalog(spark, base)
-    o = cat.orders.select("o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
-    d = cat.documents.select("doc_id", "text", "source")
+    return _articles(cat.orders, cat.documents)
+
+
+def articles_for(spark: SparkSession, base: str, ids: DataFrame, id_col: str = "article_id") -> DataFrame:
+    """``articles`` restricted to the ids of ``ids`` (e.g. a batch of hits).
+
+    Orders and documents are first semi-joined to the ids, a small side AQE
+    broadcasts, so only the abstracts of those articles leave their scan.
+    ``articles`` itself is orders LEFT JOIN documents, where the documents
+    side (the texts) is the only side a left join can broadcast, so without
+    this the whole text column is shuffled."""
+    cat = Catalog(spark, base)
+    keys = ids.select(F.col(id_col).alias("_k")).distinct()
+    o = cat.orders.join(keys, F.col("o_orderkey") == F.col("_k"), "left_semi")
+    d = cat.documents.join(keys, F.col("doc_id") == F.col("_k"), "left_semi")
+    return _articles(o, d)
+
+
+def _articles(orders: DataFrame, documents: DataFrame) -> DataFrame:
+    o = orders.select("o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
+    d = documents.select("doc_id", "text", "source")
     return (
         o.join(d, o.o_orderkey == d.doc_id, "left")
         .select(
