@@ -49,7 +49,7 @@ def answer_questions(questions: DataFrame, corpus: Corpus, k: int = 5, fetch_fac
     hits = RT.top_results(corpus.vectors, qv.select("qid", "embedding").join(bounds, "qid"), k,
                           fetch_factor=fetch_factor, dates=corpus.dates)
     hits = hits.join(questions.select("qid", "author_filter"), "qid")
-    hits = RT.author_filter(hits, corpus.authors, corpus.article_author).drop("author_filter")
+    hits = RT.materialise(RT.author_filter(hits, corpus.authors, corpus.article_author).drop("author_filter"))
     lines = RT.author_lines(hits, corpus.authors, corpus.article_author,
                             corpus.author_affiliation, corpus.affiliations)
     blocks = RT.answer_blocks(hits, corpus.articles, lines, questions.select("qid", "question"))
