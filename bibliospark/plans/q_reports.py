@@ -102,12 +102,12 @@ GROUP BY keyword""", "articles")
 
 @register("keyword_bag", _keyword_sql(";"))
 def keyword_bag(spark, base):
-    return R.keyword_counts(star.articles(spark, base), ";")
+    return R.keyword_counts(star.article_keywords(spark, base), ";")
 
 
 @register("keyword_bag_comma", _keyword_sql(","))
 def keyword_bag_comma(spark, base):
-    return R.keyword_counts(star.articles(spark, base), ",")
+    return R.keyword_counts(star.article_keywords(spark, base), ",")
 
 
 @register("article_authors", with_views("""

@@ -48,6 +48,19 @@ def articles_for(spark: SparkSession, base: str, ids: DataFrame, id_col: str = "
     return _articles(o, d)
 
 
+def article_keywords(spark: SparkSession, base: str) -> DataFrame:
+    """(id, mots_cles) of the articles that carry a keyword string: the rows
+    of ``articles`` whose ``mots_cles`` is not NULL. Built as the documents
+    semi-joined to the order keys, so the texts are not shuffled while the
+    key column is small enough for AQE to broadcast (a sort-merge semi join
+    beyond that, which moves no more than the outer join did)."""
+    cat = Catalog(spark, base)
+    keys = cat.orders.select("o_orderkey")
+    d = cat.documents.select("doc_id", "text").where(F.col("text").isNotNull())
+    return d.join(keys, F.col("doc_id") == F.col("o_orderkey"), "left_semi").select(
+        F.col("doc_id").alias("id"), F.col("text").alias("mots_cles"))
+
+
 def _articles(orders: DataFrame, documents: DataFrame) -> DataFrame:
     o = orders.select("o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
     d = documents.select("doc_id", "text", "source")
