@@ -183,9 +183,9 @@ af AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY seq, a_pos)
 af1 AS (SELECT *, row_number() OVER (ORDER BY seq, a_pos) AS affiliation_id FROM af WHERE r = 1)"""
 
 
-def _star(spark, base):
+def _star(spark, base, *tables):
     from ..operators.normalize import load_star
-    return load_star(_clean(spark, base))
+    return load_star(_clean(spark, base), tables or None)
 
 
 @register("dim_first_wins_article", f"""
@@ -203,7 +203,7 @@ FROM art JOIN orders o ON o.o_orderkey = art.seq
 LEFT JOIN documents d ON d.doc_id = o.o_orderkey
 LEFT JOIN kw ON kw.seq = art.seq""")
 def dim_first_wins_article(spark, base):
-    return _star(spark, base)["articles"]
+    return _star(spark, base, "articles")["articles"]
 
 
 @register("dim_first_wins_author", f"""
@@ -213,7 +213,7 @@ SELECT au1.auteur_id AS id, CAST(au1.l_partkey AS VARCHAR) AS scopus_author_id,
        af1.affiliation_id AS affiliation_principale
 FROM au1 JOIN af1 ON af1.l_suppkey = au1.l_suppkey""")
 def dim_first_wins_author(spark, base):
-    return _star(spark, base)["auteurs"]
+    return _star(spark, base, "auteurs")["auteurs"]
 
 
 @register("dim_first_wins_affiliation", f"""
@@ -222,7 +222,7 @@ SELECT affiliation_id AS id, coalesce(s_name, '') AS nom_institution, coalesce(n
        CAST(l_suppkey AS VARCHAR) AS scopus_affiliation_id
 FROM af1""")
 def dim_first_wins_affiliation(spark, base):
-    return _star(spark, base)["affiliations"]
+    return _star(spark, base, "affiliations")["affiliations"]
 
 
 @register("bridge_article_author", f"""
@@ -231,7 +231,7 @@ SELECT art.article_id, au1.auteur_id, count(*) AS n
 FROM lines JOIN art ON art.seq = lines.seq JOIN au1 ON au1.l_partkey = lines.l_partkey
 GROUP BY art.article_id, au1.auteur_id""")
 def bridge_article_author(spark, base):
-    return (_star(spark, base)["article_auteur"].groupBy("article_id", "auteur_id")
+    return (_star(spark, base, "article_auteur")["article_auteur"].groupBy("article_id", "auteur_id")
             .agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -241,7 +241,7 @@ SELECT au1.auteur_id, af1.affiliation_id, count(*) AS n
 FROM lines JOIN au1 ON au1.l_partkey = lines.l_partkey JOIN af1 ON af1.l_suppkey = lines.l_suppkey
 GROUP BY au1.auteur_id, af1.affiliation_id""")
 def bridge_author_affiliation(spark, base):
-    return (_star(spark, base)["auteur_affiliation"].groupBy("auteur_id", "affiliation_id")
+    return (_star(spark, base, "auteur_affiliation")["auteur_affiliation"].groupBy("auteur_id", "affiliation_id")
             .agg(F.count(F.lit(1)).alias("n")))
 
 
