@@ -80,11 +80,6 @@ def truthy(v: Column, k: Column) -> Column:
             .otherwise(F.lit(False)))
 
 
-def child_if_object(v: Column, k: Column, key: str) -> Column:
-    """One step of P1's walk: the child when ``v`` (of kind ``k``) is an object."""
-    return F.when(k == OBJECT, vget(v, key))
-
-
 def as_list(v: Column, k: Column, string_as: Column | None = None) -> Column:
     """Object -> [object]; array -> itself; string -> ``string_as`` (an
     array<variant> Column, default empty); anything else -> empty."""
