@@ -55,6 +55,14 @@ def _first_non_null(arr: Column) -> Column:
     return F.get(F.filter(arr, lambda x: x.isNotNull()), 0)
 
 
+def _first_match(block: Column, keys: Column, key: Column) -> Column:
+    """The first block entry whose id equals ``key`` null-safely (NULL
+    when none). A position lookup over the precomputed keys: no filtered copy
+    of the block per reference."""
+    pos = F.array_position(keys, F.coalesce(key, F.lit("")))
+    return F.when(pos > 0, F.element_at(block, pos.cast("int")))
+
+
 def _empty() -> Column:
     return F.array().cast("array<variant>")
 
@@ -122,6 +130,9 @@ def validate(raw: DataFrame) -> DataFrame:
         "_sa_first": F.when(sa_t & (sa_k == ARRAY), F.get(as_array(sa), 0)),
         "_a0": F.when(au_t, as_list(au, au_k)).otherwise(_empty()),
         "_block_bad_idx": F.get(F.filter(c("_block"), lambda e: ~e["obj"]), 0)["idx"],
+        # J1 lookup keys: a missing/null id is '' (to_json never gives '') so
+        # array_position matches it null-safely; non-objects never match
+        "_block_keys": F.transform(c("_block"), lambda e: F.when(e["obj"], F.coalesce(e["key"], F.lit("")))),
     })
     df = df.withColumns({
         "_rk_k": vkind(c("_rk")),
@@ -167,7 +178,7 @@ def validate(raw: DataFrame) -> DataFrame:
     df = df.withColumn("_a5", F.transform(c("_a4"), lambda x: x.withField(
         "refs", F.transform(x["refs"], lambda r: F.struct(
             r["obj"].alias("obj"),
-            F.get(F.filter(c("_block"), lambda e: e["obj"] & e["key"].eqNullSafe(r["key"])), 0).alias("m"))))))
+            _first_match(c("_block"), c("_block_keys"), r["key"]).alias("m"))))))
     bad_idx, block_bad = c("_block_bad_idx"), c("_block_bad")
 
     def ref_err(r: Column) -> Column:
