@@ -58,3 +58,17 @@ def test_entry_contract(spark):
     assert df.columns == ["author", "total"]
     assert df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_answers_read_materialised_hits_once(plans):
+    # the kernel runs once, into a checkpoint, not once per branch of the answer plan
+    assert "MapInPandas" not in plans["answers"]
+    assert "MapInPandas" not in plans["answer_blocks"]
+
+
+def test_keyword_reports_semi_join_texts_to_keys(plans):
+    # documents reach the keyword split through a semi join on the order keys,
+    # not through the outer-joined article view that shuffles every text
+    for name in ("keyword_bag", "keyword_bag_comma"):
+        assert "LeftSemi" in plans[name]
+        assert "LeftOuter" not in plans[name]
