@@ -72,3 +72,15 @@ def test_keyword_reports_semi_join_texts_to_keys(plans):
     for name in ("keyword_bag", "keyword_bag_comma"):
         assert "LeftSemi" in plans[name]
         assert "LeftOuter" not in plans[name]
+
+
+def test_single_partition_only_for_partition_counts(plans):
+    # a single-partition exchange may only carry the per-partition row counts
+    # of the numbering (one row per partition), never the data itself
+    bad = set()
+    for name, p in plans.items():
+        lines = p.splitlines()
+        for i, line in enumerate(lines):
+            if "Exchange SinglePartition" in line and "HashAggregate(keys=[_pid" not in lines[i + 1]:
+                bad.add(name)
+    assert not bad, bad
