@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import string
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,52 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+class Dealer:
+    """Packed records (rows of unsigned 64-bit words) dealt over buckets.
+
+    A task holds back at most ``HELD`` bytes, then hands on one blob per bucket,
+    so a record costs its bytes in the shuffle and nothing a row."""
+
+    HELD = 32 << 20
+    SCHEMA = "bucket int, records binary"
+
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.size = buckets, [[] for _ in range(buckets)], 0
+
+    def add(self, records: np.ndarray, keys: np.ndarray) -> None:
+        """Deal by the upper bits of the keys."""
+        if not len(records):
+            return
+        to = (keys >> np.uint64(33)) % np.uint64(self.buckets)
+        order = np.argsort(to, kind="stable")
+        records, to = records[order], to[order]
+        cuts = np.flatnonzero(np.diff(to)) + 1
+        for k, part in zip(to[np.concatenate(([0], cuts))].tolist(), np.split(records, cuts)):
+            self.held[k].append(part.tobytes())
+        self.size += records.nbytes
+
+    def full(self):
+        if self.size >= self.HELD:
+            yield from self.rest()
+
+    def rest(self):
+        at = [k for k, parts in enumerate(self.held) if parts]
+        if at:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at, pa.int32()), pa.array([b"".join(self.held[k]) for k in at], pa.binary())],
+                ["bucket", "records"])
+        self.held, self.size = [[] for _ in range(self.buckets)], 0
+
+    @staticmethod
+    def read(table: pa.Table, words: int) -> np.ndarray:
+        return np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, words) for x in table["records"].to_pylist()])
+
+
+def buckets_for(docs: DataFrame, per_partition: int) -> int:
+    """Buckets for records whose number follows the size of an input partition."""
+    return max(8, per_partition * docs.rdd.getNumPartitions())
+
+
 def same(a: DataFrame, b: DataFrame, *names: str) -> Column:
     """Equality of the named columns in which null equals null."""
     out = F.lit(True)
