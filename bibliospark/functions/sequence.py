@@ -10,7 +10,9 @@ counts are aggregated - at most ``partitions`` rows for a hot key.
 
 The tagged, sorted rows are checkpointed (reliable checkpoint in the shared
 ``spark.checkpoint.dir``) so partition ids and local positions are fixed and
-survive executor loss.
+survive executor loss. The counts come back by broadcast while their number is
+under ``BROADCAST_ROWS`` (counted), which keeps the rows in order and unmoved,
+and by a shuffle join beyond it. A NULL key is a key like any other.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
+#: (partition, key) counts that may be broadcast: about 40 bytes each.
+BROADCAST_ROWS = 500_000
+
 
 def sequence_numbers(df: DataFrame, order_cols: list, key: str | None = None,
                      out: str = "seq", start: int = 1) -> DataFrame:
@@ -39,11 +44,13 @@ def sequence_numbers(df: DataFrame, order_cols: list, key: str | None = None,
     # as many stats rows as there are partitions.
     w = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))).orderBy("_pid") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stats.select(*grp, "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    if not key:
-        # one row per partition: bounded by the partition count, so broadcast
-        # it and keep the numbered rows where they are
+    offsets = stats.select(F.col("_pid").alias("_p"), *([F.col(key).alias("_k")] if key else []), "_m0",
+                           F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    if not key or stats.count() <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
-    return (tagged.join(offsets, grp)
+    met = F.col("_pid") == F.col("_p")
+    if key:
+        met = met & F.col(key).eqNullSafe(F.col("_k"))
+    return (tagged.join(offsets, met)
             .withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_m0") + F.lit(start)).cast("long"))
-            .drop("_pid", "_mid", "_m0", "_off"))
+            .drop("_pid", "_mid", "_m0", "_off", "_p", "_k"))
