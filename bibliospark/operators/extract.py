@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_title, py_strip
+from ..sources.landed import ID_PREFIX, RESPONSE
 from ..functions.variant import (
     ARRAY, BOOLEAN, MISSING, NULL, NUMBER, OBJECT, STRING,
     as_array, as_list, id_key, is_object, scalar_text, string_or, truthy, vget, vkind, vkind_leaf,
@@ -37,10 +38,7 @@ CLEAN_SCHEMA = (
 CLEAN_COLUMNS = ["seq", "scopus_id", "titre", "resume", "date_publication", "revue", "doi",
                  "mots_cles", "domaine_recherche", "auteurs"]
 
-# The prefix removed from document identifiers, and the
-# coredata keys read into the clean article, in reading order.
-ID_PREFIX = "SCOPUS_ID:"
-RESPONSE = "abstracts-retrieval-response"
+# The coredata keys read into the clean article, in reading order.
 CORE_FIELDS = (
     ("scopus_id", "dc:identifier"),
     ("titre", "dc:title"),
@@ -79,6 +77,8 @@ def validate(raw: DataFrame) -> DataFrame:
     columns (or struct fields inside arrays), so every expression references
     small attributes and the plan stays linear in the number of rules."""
     c = _c
+    # a repeated key of an object keeps its last value
+    raw.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     df = raw.select("seq", "value")
     df = with_kinds(df, _v=F.try_parse_json(c("value")))
     # P1's walk reads every value by its full path from the root: a step

@@ -2,17 +2,19 @@
 (A6/A7/P7-P10/J7/J8/K2/K3) of landed article documents.
 
 The landed documents are the relational star encoded as JSON
-(``sources.landed.documents_from_tables``); each oracle computes the
+(``plans.fixtures.documents_from_tables``); each oracle computes the
 expected rows straight from the base tables.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import extract as X
-from ..sources.landed import documents_from_tables
 from .catalog import register
+from .fixtures import details_from_tables, documents_from_tables, search_pages_from_tables
 from .oracle import sql_strip
 
 # the two planted type errors of the landed encoding
@@ -313,13 +315,120 @@ def json_sink_roundtrip(spark, base):
                      F.count(F.when(F.col("value").contains('"resume":null'), 1)).alias("n_null_resume"))
 
 
+# S3: the landed documents written as JSON Lines and as array files (a block of
+# keys each), both read back in file order and cleaned.
+_BLOCK = 2000
+
+
+@register("landed_documents_roundtrip", f"""
+WITH per AS (SELECT l_orderkey AS seq, count(*) AS n FROM lineitem GROUP BY l_orderkey)
+SELECT f.fmt, CAST(o_orderkey AS VARCHAR) AS scopus_id, 'Article ' || CAST(o_orderkey AS VARCHAR) AS titre,
+       md5(coalesce({sql_strip('d.text')}, '')) AS resume_md5, coalesce(per.n, 0) AS n_authors
+FROM (SELECT unnest(['array', 'jsonl']) AS fmt) f, orders
+LEFT JOIN documents d ON d.doc_id = o_orderkey LEFT JOIN per ON per.seq = o_orderkey
+WHERE NOT {_REJECTED}""")
+def landed_documents_roundtrip(spark, base):
+    from ..session import scratch_path
+    from ..sources.landed import read_documents
+    docs = documents_from_tables(spark, base)
+    lines, arrays = scratch_path(spark, "landed-lines"), scratch_path(spark, "landed-arrays")
+    docs.orderBy("seq").select("value").write.text(lines)
+    # an array file holds a bounded block of keys
+    block = docs.groupBy(F.expr(f"seq div {_BLOCK}").alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("xs"))
+    (block.select("block", F.concat(F.lit("["), F.array_join(F.transform("xs", lambda x: x["value"]), ","), F.lit("]")).alias("value"))
+     .write.partitionBy("block").text(arrays))
+    parts = [X.clean(read_documents(spark, path, fmt)).select(
+        F.lit(fmt).alias("fmt"), "scopus_id", "titre", F.md5("resume").alias("resume_md5"),
+        F.size("auteurs").cast("long").alias("n_authors")) for path, fmt in ((lines, "jsonl"), (f"{arrays}/*", "array"))]
+    return parts[0].unionByName(parts[1])
+
+
+# E-A as one job: clean -> dedup -> JSON sink -> load -> second load. Later
+# documents repeat an earlier one's identifier (finished orders) or its title in
+# other case and blanks (open orders), and two kinds have neither.
+def _landed_with_repeats(spark, base):
+    docs = documents_from_tables(spark, base, extra=("o_orderstatus", "o_orderpriority"))
+    last = docs.agg(F.max("seq")).first()[0] or 0  # a scalar
+    core = lambda ident, title: F.concat(
+        F.lit('{"abstracts-retrieval-response":{"coredata":{"dc:identifier":"'), ident, F.lit('","dc:title":"'), title,
+        F.lit('","dc:description":"a repeat"},"authors":{"author":""},"affiliation":"","authkeywords":{"author-keyword":""}}}'))
+    key = F.col("seq").cast("string")
+    repeat = (F.when(F.col("o_orderpriority") == "5-LOW", F.when(F.col("o_orderstatus") == "P", core(F.lit(""), F.lit("  ")))
+                     .otherwise(core(F.concat(F.lit("SCOPUS_ID:"), key), F.concat(F.lit("Another title of "), key))))
+              .when(F.col("o_orderstatus") == "O", core(F.concat(F.lit("SCOPUS_ID:r"), key), F.concat(F.lit(" ARTICLE "), key, F.lit("  ")))))
+    kept = ~((F.col("o_orderstatus") == "P") & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+    again = docs.where(kept).select((F.col("seq") + last + 1).alias("seq"), repeat.alias("value")).where("value IS NOT NULL")
+    return docs.select("seq", "value").unionByName(again)
+
+
+@register("corpus_load", f"""
+WITH {_FIRSTS},
+kw AS (SELECT seq, string_agg({sql_strip('p_type')}, ', ' ORDER BY a_pos) AS mots_cles
+       FROM lines WHERE {sql_strip('p_type')} <> '' GROUP BY seq)
+SELECT 'articles' AS table_name, art.article_id AS id, CAST(NULL AS BIGINT) AS other_id,
+       concat_ws('|', CAST(o.o_orderkey AS VARCHAR), 'Article ' || CAST(o.o_orderkey AS VARCHAR),
+                 md5(coalesce({sql_strip('d.text')}, '')), strftime(o.o_orderdate, '%Y-%m-%d'), o.o_orderpriority,
+                 CASE WHEN o.o_orderstatus = 'F' THEN '10.5555/' || CAST(o.o_orderkey AS VARCHAR) ELSE '' END,
+                 coalesce(kw.mots_cles, ''), coalesce({sql_strip('d.source')}, '')) AS content, 1 AS n
+FROM art JOIN orders o ON o.o_orderkey = art.seq
+LEFT JOIN documents d ON d.doc_id = o.o_orderkey LEFT JOIN kw ON kw.seq = art.seq
+UNION ALL
+SELECT 'auteurs', au1.auteur_id, af1.affiliation_id,
+       concat_ws('|', CAST(au1.l_partkey AS VARCHAR), {_NAME_SQL.replace('p_name', 'au1.p_name')}, au1.p_brand), 1
+FROM au1 JOIN af1 ON af1.l_suppkey = au1.l_suppkey
+UNION ALL
+SELECT 'affiliations', affiliation_id, NULL,
+       concat_ws('|', CAST(l_suppkey AS VARCHAR), coalesce(s_name, ''), coalesce(n_name, '')), 1 FROM af1
+UNION ALL
+SELECT 'article_auteur', art.article_id, au1.auteur_id, '', count(*)
+FROM lines JOIN art ON art.seq = lines.seq JOIN au1 ON au1.l_partkey = lines.l_partkey GROUP BY 2, 3
+UNION ALL
+SELECT 'auteur_affiliation', au1.auteur_id, af1.affiliation_id, '', count(*)
+FROM lines JOIN au1 ON au1.l_partkey = lines.l_partkey JOIN af1 ON af1.l_suppkey = lines.l_suppkey GROUP BY 2, 3
+UNION ALL SELECT 'inserted_again', 0, NULL, '', 0""")
+def corpus_load(spark, base):
+    from ..functions.text import norm_title
+    from ..operators.dedup import greedy_dedup
+    from ..operators.normalize import STAR_TABLES, load_star, new_rows, write_star
+    from ..session import scratch_path
+    from ..sources.landed import write_json
+    clean = X.clean(_landed_with_repeats(spark, base))
+    keyed = clean.withColumns({"_id": F.coalesce("scopus_id", F.lit("")), "_title": norm_title("titre")})
+    kept = greedy_dedup(keyed, key1="_id", key2="_title").drop("_id", "_title")
+    sink = scratch_path(spark, "clean-articles")
+    write_json(kept, sink)
+    loaded = spark.read.schema(kept.schema).json(sink)
+    path = scratch_path(spark, "star")
+    write_star(load_star(loaded), path)
+    t = {name: spark.read.parquet(f"{path}/{name}") for name in STAR_TABLES}
+    second = new_rows(t, load_star(loaded))  # Q13: loading again inserts nothing
+    none = F.lit(None).cast("long")
+    row = lambda name, i, o, content, n: [F.lit(name).alias("table_name"), i.alias("id"), o.alias("other_id"),
+                                          content.alias("content"), n.cast("long").alias("n")]
+    one = F.lit(1)
+    bag = lambda name, i, o: t[name].groupBy(i, o).count().select(*row(name, F.col(i), F.col(o), F.lit(""), F.col("count")))
+    out = [
+        t["articles"].select(*row("articles", F.col("id"), none, F.concat_ws(
+            "|", "scopus_id", "titre", F.md5("resume"), "date_publication", "revue", "doi", "mots_cles", "domaine_recherche"), one)),
+        t["auteurs"].select(*row("auteurs", F.col("id"), F.col("affiliation_principale"),
+                                 F.concat_ws("|", "scopus_author_id", "nom_complet", "orcid"), one)),
+        t["affiliations"].select(*row("affiliations", F.col("id"), none, F.concat_ws(
+            "|", "scopus_affiliation_id", "nom_institution", "pays"), one)),
+        bag("article_auteur", "article_id", "auteur_id"), bag("auteur_affiliation", "auteur_id", "affiliation_id"),
+        second.agg(F.count(F.lit(1)).alias("c")).select(*row("inserted_again", F.lit(0).cast("long"), none, F.lit(""), F.col("c"))),
+    ]
+    return reduce(lambda x, y: x.unionByName(y), out)
+
+
 # ------------------------------------------------------ harvest S1/S2/S5 --
 
 _PAGES_SQL = """
 pg AS (SELECT (o_orderkey // 25) * 25 AS start, o_orderkey, o_custkey, o_orderdate, o_orderstatus, o_orderpriority,
               row_number() OVER (PARTITION BY o_orderkey // 25 ORDER BY o_orderkey) - 1 AS pos
        FROM orders),
-st AS (SELECT start, CASE WHEN bool_or(pos = 0 AND o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')
+st AS (SELECT start, CASE WHEN bool_or(pos = 0 AND o_orderkey * 10 >= (SELECT max(o_orderkey) FROM orders) * 9
+                                      AND o_orderpriority = '1-URGENT')
                           THEN 429 ELSE 200 END AS status
        FROM pg GROUP BY start),
 stop AS (SELECT min(start) AS s FROM st WHERE status <> 200),
@@ -332,13 +441,13 @@ ids AS (SELECT start, pos, o_orderkey,
 
 
 def _entries(spark, base):
-    from ..sources.landed import pages_until_error, search_pages_from_tables
+    from ..sources.landed import pages_until_error
     return pages_until_error(search_pages_from_tables(spark, base))
 
 
 @register("landed_pages_until_error", f"""
 WITH {_PAGES_SQL.strip()}
-SELECT CAST(start AS INTEGER) AS start, pos, scopus_id FROM ids""")
+SELECT CAST(start AS BIGINT) AS start, pos, scopus_id FROM ids""")
 def landed_pages_until_error(spark, base):
     from ..sources.landed import entry_id
     e = _entries(spark, base)
@@ -347,13 +456,17 @@ def landed_pages_until_error(spark, base):
 
 @register("enrich_inner", f"""
 WITH {_PAGES_SQL.strip()}
-SELECT CAST(i.start AS INTEGER) AS start, i.pos, i.scopus_id FROM ids i
+SELECT CAST(i.start AS BIGINT) AS start, i.pos, i.scopus_id, 'Article ' || i.scopus_id AS titre FROM ids i
 JOIN orders o ON CAST(o.o_orderkey AS VARCHAR) = i.scopus_id
 WHERE i.scopus_id <> '' AND NOT (o.o_orderstatus = 'P' AND o.o_orderpriority = '3-MEDIUM')""")
 def enrich_inner(spark, base):
-    from ..sources.landed import details_from_tables, enrich
+    # details of finished orders landed twice: an entry keeps the first
+    from ..functions.text import py_strip
+    from ..sources.landed import RESPONSE, enrich
     out = enrich(_entries(spark, base), details_from_tables(spark, base))
-    return out.select("start", F.col("pos").cast("long").alias("pos"), "scopus_id")
+    title = F.get_json_object("value", f"$.{RESPONSE}.coredata['dc:title']")
+    plain = F.when(title.rlike("^[0-9]+$"), F.concat(F.lit("Article "), F.col("scopus_id"))).otherwise(py_strip(title))
+    return out.select("start", F.col("pos").cast("long").alias("pos"), "scopus_id", plain.alias("titre"))
 
 
 @register("smoke_projection", f"""

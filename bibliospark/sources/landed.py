@@ -4,9 +4,6 @@
   explicit order column, or whole-file JSON arrays (ordinal kept).
 * :func:`pages_until_error` / :func:`enrich` - the paged search harvest and
   the per-id detail retrieval, re-aimed at landed responses.
-* :func:`documents_from_tables` - the relational star encoded back into the
-  landed document shape, so the cleaning path runs on data that grows with
-  the tables (a round trip: cleaning must give back the relational rows).
 """
 
 from __future__ import annotations
@@ -14,34 +11,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import py_strip
-from .tables import Catalog
+from ..functions.sequence import sequence_numbers
+from ..session import ensure_checkpoint_dir
 
+# The prefix removed from document identifiers; the top key of a
+# landed document.
 ID_PREFIX = "SCOPUS_ID:"
+RESPONSE = "abstracts-retrieval-response"
 
 
 # ----------------------------------------------------------------- S3 -----
 
 def read_documents(spark: SparkSession, path: str, fmt: str = "jsonl") -> DataFrame:
-    """Landed documents as ``(seq, value)``.
-
-    ``jsonl``: one JSON document per line; ``seq`` is the global line order
-    (file name, then line position). ``array``: each file is one JSON array
-    (the harvest's format); the array ordinal is kept by ``posexplode``. The
-    array form reads each file as one value, so it is for bounded files."""
+    """Landed documents as ``(seq, value)``, in file order.
+
+    ``jsonl``: one JSON document per line; files are split over tasks, so this
+    is the form for large inputs. ``array``: each file is one JSON array (the
+    harvest's format). Its elements are parsed one by one, in file order, each
+    into a row, so no value holds the file and no limit on a value's size
+    applies to it; one file is still one task. A repeated key of an object
+    keeps its last value. An array with elements that are not objects is
+    parsed again element by element, so that each of those is a record of its
+    own (cleaning rejects it). A file that is not a JSON array to its end, or
+    is too large for that second parse, fails the read: nothing is dropped in
+    silence."""
     if fmt == "jsonl":
         df = spark.read.text(path).select(F.input_file_name().alias("_file"), F.col("value"),
                                           F.monotonically_increasing_id().alias("_pos"))
-        from ..functions.sequence import sequence_numbers
         return sequence_numbers(df, ["_file", "_pos"], out="seq").select("seq", "value")
-    if fmt == "array":
-        df = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_file"), "value")
-        items = df.select("_file", F.posexplode(
-            F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")).alias("_pos", "_doc"))
-        from ..functions.sequence import sequence_numbers
-        return sequence_numbers(items.select("_file", "_pos", F.to_json("_doc").alias("value")),
-                                ["_file", "_pos"], out="seq").select("seq", "value")
-    raise ValueError(fmt)
+    if fmt != "array":
+        raise ValueError(fmt)
+    ensure_checkpoint_dir(spark)
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    rows = (spark.read.schema(f"`{RESPONSE}` variant, _rest string").option("multiLine", True)
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_rest").json(path))
+    rows = rows.select(F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_pos"),
+                       F.col(RESPONSE).alias("_doc"), "_rest").checkpoint()  # parsed once
+    value = F.concat(F.lit('{"' + RESPONSE + '":'), F.coalesce(F.to_json("_doc"), F.lit("null")), F.lit("}"))
+    good = rows.where(F.col("_rest").isNull()).select("_file", "_pos", F.lit(0).alias("_item"), value.alias("value"))
+    items = F.try_variant_get(F.try_parse_json("_rest"), "$", "array<variant>")
+    failed = F.raise_error(F.concat(F.lit("not a readable JSON array: "), F.col("_file"))).cast("array<variant>")
+    mixed = (rows.where(F.col("_rest").isNotNull())
+             .select("_file", "_pos", F.posexplode(F.coalesce(items, failed)).alias("_item", "_v"))
+             .select("_file", "_pos", "_item", F.coalesce(F.to_json("_v"), F.lit("null")).alias("value")))
+    return sequence_numbers(good.unionByName(mixed), ["_file", "_pos", "_item"], out="seq").select("seq", "value")
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -75,160 +88,16 @@ def entry_id(entry: Column) -> Column:
 def enrich(entries: DataFrame, details: DataFrame) -> DataFrame:
     """S2 + J6 + P18: detail documents of the harvested entries.
 
-    ``entries``: (start, pos, entry); ``details``: (scopus_id, status, body).
-    Blank ids are skipped, only 200 responses are kept, and an id listed
-    twice is fetched (kept) twice. The harvest order (start, pos) is kept."""
+    ``entries``: (start, pos, entry); ``details``: (scopus_id, landed, status,
+    body), ``landed`` the order of landing. Blank ids are skipped and only 200
+    responses count. An id listed twice is fetched (kept) twice; an entry gets
+    one document, the first that landed for its id. The harvest order (start,
+    pos) is kept. Only keys are aggregated, never the documents."""
     ids = entries.select("start", "pos", entry_id(F.col("entry")).alias("scopus_id")).where(F.col("scopus_id") != "")
-    ok = details.where(F.col("status") == 200).select("scopus_id", "body")
-    return ids.join(ok, "scopus_id").select("start", "pos", "scopus_id", F.col("body").alias("value"))
-
-
-# ------------------------------------------------- relational round trip --
-
-def _quoted(c: Column) -> Column:
-    """A string as a JSON string literal (quoted and escaped)."""
-    arr = F.to_json(F.array(c))
-    return F.substring(arr, F.lit(2), F.length(arr) - 2)
-
-
-def _one_or_many(items: Column) -> Column:
-    """A JSON list of objects: the bare object when there is exactly one."""
-    return F.when(F.size(items) == 1, F.get(items, 0)).otherwise(
-        F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")))
-
-
-def documents_from_tables(spark: SparkSession, base: str) -> DataFrame:
-    """(seq, value): one landed document per order, encoding its lines as
-    authors (part), their affiliations (supplier, nation), keywords (part
-    type) and research domain (the order's document source).
-
-    Shapes vary with the data: a single author/affiliation/keyword is an
-    object, several are an array; an order without lines carries the string
-    placeholders the API uses; author affiliation refs alternate between an
-    object and a one-element array by line number. Two rare status/priority
-    combinations carry type errors (a numeric title; a null keyword list),
-    so the reject path is exercised on real rows."""
-    cat = Catalog(spark, base)
-    o = cat.orders.select("o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
-    d = cat.documents.select("doc_id", "text", "source", "lang")
-    p = cat.part.select("p_partkey", "p_name", "p_type", "p_brand")
-    s = cat.supplier.select("s_suppkey", "s_name", "s_nationkey")
-    n = cat.nation.select("n_nationkey", "n_name")
-    li = cat.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-
-    sup = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey, "left")  # nation: 25 rows
-    lines = (li.join(p, li.l_partkey == p.p_partkey, "left")
-             .join(sup, li.l_suppkey == sup.s_suppkey, "left"))
-    given = F.substring_index("p_name", " ", 1)
-    surname = F.when(F.instr("p_name", " ") > 0,
-                     F.expr("substr(p_name, instr(p_name, ' ') + 1)")).otherwise(F.lit(""))
-    ref_obj = F.to_json(F.struct(F.col("l_suppkey").cast("string").alias("@id")))
-    ref = F.when(F.col("l_linenumber") % 2 == 1, ref_obj).otherwise(F.concat(F.lit("["), ref_obj, F.lit("]")))
-    author_core = F.to_json(F.struct(
-        F.col("l_partkey").cast("string").alias("@auid"),
-        given.alias("ce:given-name"), surname.alias("ce:surname"), F.col("p_brand").alias("orcid")))
-    author = F.concat(F.expr("substring(ac, 1, length(ac) - 1)"), F.lit(',"affiliation":'), ref, F.lit("}"))
-    block_entry = F.to_json(F.struct(
-        F.col("l_suppkey").cast("string").alias("@id"), F.col("s_name").alias("affilname"),
-        F.col("n_name").alias("affiliation-country")))
-    keyword = F.to_json(F.struct(F.col("p_type").alias("$")))
-    per_line = lines.select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        author_core.alias("ac"), block_entry.alias("_blk"), keyword.alias("_kw"))
-    per_line = per_line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "_blk", "_kw",
-                               author.alias("_author"))
-    # one document per order: bounded by the lines of one order. Line numbers
-    # repeat within an order, so the line order is (line, part, supplier).
-    agg = per_line.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "_author", "_kw")))
-        .alias("_lines"),
-        F.array_sort(F.collect_set(F.struct("l_suppkey", "_blk"))).alias("_blocks"))
-    authors = F.transform("_lines", lambda x: x["_author"])
-    kws = F.transform("_lines", lambda x: x["_kw"])
-    blocks = F.transform("_blocks", lambda x: x["_blk"])
-
-    j = (o.join(d, o.o_orderkey == d.doc_id, "left")
-         .join(agg, o.o_orderkey == agg.l_orderkey, "left"))
-    has_lines = F.col("_lines").isNotNull()
-    bad_title = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT")
-    null_kw = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "2-HIGH")
-    title = F.when(bad_title, (F.col("o_orderkey") + 1).cast("string")).otherwise(
-        _quoted(F.concat(F.lit("  Article "), F.col("o_orderkey").cast("string"), F.lit("\n"))))
-    core = F.concat(F.expr("substring(_core, 1, length(_core) - 1)"), F.lit(',"dc:title":'), title, F.lit("}"))
-    kw_json = (F.when(null_kw, F.lit("null"))
-               .when(has_lines, _one_or_many(kws)).otherwise(F.lit('""')))
-    # subject areas: a bare object for finished orders, the domain followed by
-    # the document language for open ones, a one-element list otherwise
-    area = F.concat(F.lit('{"@abbrev":'), _quoted(F.col("source")), F.lit("}"))
-    second = F.concat(F.lit('{"@abbrev":'), _quoted(F.coalesce(F.col("lang"), F.lit(""))), F.lit("}"))
-    areas = (F.when(F.col("o_orderstatus") == "F", area)
-             .when(F.col("o_orderstatus") == "O", F.concat(F.lit("["), area, F.lit(","), second, F.lit("]")))
-             .otherwise(F.concat(F.lit("["), area, F.lit("]"))))
-    subject = F.when(F.col("source").isNotNull(), F.concat(
-        F.lit(',"subject-areas":{"subject-area":'), areas, F.lit("}")))
-    doc = F.concat(
-        F.lit('{"abstracts-retrieval-response":{"coredata":'), F.col("_coredata"),
-        F.lit(',"authkeywords":{"author-keyword":'), kw_json, F.lit("}"),
-        F.coalesce(subject, F.lit("")),
-        F.lit(',"authors":{"author":'),
-        F.when(has_lines, _one_or_many(authors)).otherwise(F.lit('""')),
-        F.lit('},"affiliation":'),
-        F.when(has_lines, _one_or_many(blocks)).otherwise(F.lit('""')),
-        F.lit("}}"))
-    staged = j.withColumn("_core", F.to_json(F.struct(
-        F.concat(F.lit(ID_PREFIX), F.col("o_orderkey").cast("string")).alias("dc:identifier"),
-        F.col("text").alias("dc:description"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("prism:coverDate"),
-        F.col("o_orderpriority").alias("prism:publicationName"),
-        F.when(F.col("o_orderstatus") == "F",
-               F.concat(F.lit("10.5555/"), F.col("o_orderkey").cast("string"))).otherwise(F.lit(""))
-        .alias("prism:doi"))))
-    staged = staged.withColumn("_coredata", core)
-    return staged.select(F.col("o_orderkey").alias("seq"), doc.alias("value"))
-
-
-PAGE_SIZE = 25  # entries per search page (the harvest's page size)
-
-
-def search_pages_from_tables(spark: SparkSession, base: str) -> DataFrame:
-    """(start, status, body): the orders as paged search responses of
-    ``PAGE_SIZE`` entries in key order. A page whose first order is urgent
-    and pending answers 429 (rate limited); an entry of an open low-priority
-    order has a blank identifier; ``dc:creator`` and ``prism:doi`` are only
-    present for finished orders. Each page holds at most ``PAGE_SIZE``
-    entries, so the per-page collect is bounded."""
-    o = Catalog(spark, base).orders.select("o_orderkey", "o_custkey", "o_orderdate",
-                                           "o_orderstatus", "o_orderpriority")
-    key = F.col("o_orderkey").cast("string")
-    finished = F.col("o_orderstatus") == "F"
-    entry = F.to_json(F.struct(
-        F.when((F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") == "5-LOW"), F.lit(""))
-        .otherwise(F.concat(F.lit(ID_PREFIX), key)).alias("dc:identifier"),
-        F.concat(F.lit("Article "), key).alias("dc:title"),
-        F.when(finished, F.concat(F.lit("Creator "), F.col("o_custkey").cast("string"))).alias("dc:creator"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("prism:coverDate"),
-        F.when(finished, F.concat(F.lit("10.5555/"), key)).alias("prism:doi")))
-    first_bad = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT")
-    pages = (o.select(F.expr(f"o_orderkey div {PAGE_SIZE}").alias("page"),
-                      F.struct("o_orderkey", entry.alias("e"), first_bad.alias("bad")).alias("x"))
-             .groupBy("page").agg(F.array_sort(F.collect_list("x")).alias("xs")))
-    body = F.concat(F.lit('{"search-results":{"entry":['),
-                    F.array_join(F.transform("xs", lambda x: x["e"]), ","), F.lit("]}}"))
-    status = F.when(F.get(F.col("xs"), 0)["bad"], F.lit(429)).otherwise(F.lit(200))
-    return pages.select((F.col("page") * PAGE_SIZE).cast("int").alias("start"), status.alias("status"),
-                        body.alias("body"))
-
-
-def details_from_tables(spark: SparkSession, base: str) -> DataFrame:
-    """(scopus_id, status, body): the detail response per order; pending
-    medium-priority orders answer 404."""
-    o = Catalog(spark, base).orders.select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    docs = documents_from_tables(spark, base)
-    missing = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "3-MEDIUM")
-    return (o.join(docs, o.o_orderkey == docs.seq)
-            .select(F.col("o_orderkey").cast("string").alias("scopus_id"),
-                    F.when(missing, F.lit(404)).otherwise(F.lit(200)).alias("status"),
-                    F.col("value").alias("body")))
+    ok = details.where(F.col("status") == 200).select("scopus_id", "landed", "body")
+    first = ok.groupBy("scopus_id").agg(F.min("landed").alias("landed"))
+    one = ok.join(first, ["scopus_id", "landed"], "left_semi")
+    return ids.join(one, "scopus_id").select("start", "pos", "scopus_id", F.col("body").alias("value"))
 
 
 # Fixed value: the smoke search's default for a missing field.
