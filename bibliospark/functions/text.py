@@ -92,6 +92,11 @@ def minute_text(ts) -> Column:
     return F.date_format(col_(ts), "yyyy-MM-dd HH:mm")
 
 
+def long_minute_text(ts) -> Column:
+    """``strftime('%d %B %Y à %H:%M')``, the discussion list's format."""
+    return F.date_format(col_(ts), "dd MMMM yyyy 'à' HH:mm")
+
+
 def split_tokens(c, delimiter: str = ";") -> Column:
     """T5 + T1 + T2: split on a literal delimiter, strip, lower, drop empties."""
     import re
