@@ -261,10 +261,3 @@ def rejects(raw: DataFrame) -> DataFrame:
     """Rejected records: (seq, reason, value), kept apart and explained."""
     return (validate(raw).where(F.col("reject_reason").isNotNull())
             .select("seq", F.col("reject_reason").alias("reason"), "value"))
-
-
-def write_clean_and_rejects(raw: DataFrame, path: str) -> None:
-    """One scan, two outputs: ``path/outcome=clean`` and ``path/outcome=reject``."""
-    out = validate(raw).withColumn(
-        "outcome", F.when(F.col("reject_reason").isNull(), F.lit("clean")).otherwise(F.lit("reject")))
-    out.write.mode("overwrite").partitionBy("outcome").parquet(path)

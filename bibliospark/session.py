@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -17,6 +18,8 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a JSON object's repeated key keeps its last value
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # checkpoints (hit batches of the question stream, numbering passes) are
     # removed from the shared folder once their DataFrame is gone; a long
     # stream would otherwise keep adding files
@@ -73,6 +76,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the executors of a cluster where it is not
+    installed: Python tasks import it by name. A local session needs nothing."""
+    if spark.sparkContext.master.startswith("local"):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="bibliospark-"), "bibliospark"), "zip",
+                                  os.path.dirname(root), os.path.basename(root))
+    spark.sparkContext.addPyFile(archive)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)

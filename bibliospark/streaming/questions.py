@@ -16,7 +16,7 @@ the distance kernel broadcasts.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,7 +62,9 @@ def start(spark: SparkSession, source_dir: str, log_dir: str, corpus: Corpus, *,
           k: int = 5, fetch_factor: int = 10, encoder: Encoder | None = None,
           max_files_per_trigger: int = 16, checkpoint_location: str | None = None,
           available_now: bool = False):
-    """Start the stream; returns the ``StreamingQuery``."""
+    """Start the stream; returns the ``StreamingQuery``. The corpus is encoded
+    once, into the shared checkpoint folder; batches read its vectors."""
+    corpus = replace(corpus, vectors=RT.materialise(corpus.vectors))
     stream = (spark.readStream.schema(QUESTION_SCHEMA)
               .option("maxFilesPerTrigger", max_files_per_trigger).json(source_dir))
 
