@@ -132,23 +132,28 @@ def authors_and_affiliations(hits: DataFrame, authors: DataFrame, article_author
 
     ``hits`` must carry ``article_id``; its other columns are kept.
     """
+    # repeated bridge rows are carried as a multiplicity through the joins and
+    # expanded at the end, so a prolific author's mentions never meet all of his
+    # affiliation rows one by one
     a = authors.select(F.col("id").alias("_aid"), "nom_complet")
-    aa = author_affiliation.select(F.col("auteur_id").alias("_aa_auteur"),
-                                   F.col("affiliation_id").alias("_aa_aff"))
+    aa = (author_affiliation.groupBy(F.col("auteur_id").alias("_aa_auteur"), F.col("affiliation_id").alias("_aa_aff"))
+          .agg(F.count(F.lit(1)).alias("_n")))
     af = affiliations.select(F.col("id").alias("_afid"), "nom_institution", "pays")
-    bridge = article_author.select(F.col("article_id").alias("_art"),
-                                   F.col("auteur_id").alias("_auteur"))
+    bridge = (article_author.groupBy(F.col("article_id").alias("_art"), F.col("auteur_id").alias("_auteur"))
+              .agg(F.count(F.lit(1)).alias("_m")))
     out = (hits.join(bridge, hits.article_id == bridge._art)
            .join(a, F.col("_auteur") == F.col("_aid"))
            .join(aa, F.col("_aid") == F.col("_aa_auteur"), "left")
            .join(af, F.col("_aa_aff") == F.col("_afid"), "left"))
+    copies = F.col("_m") * F.coalesce("_n", F.lit(1))
     keep = [c for c in hits.columns]
     return out.select(
         *keep,
         "nom_complet",
         F.coalesce(F.nullif("nom_institution", F.lit("")), F.lit("Institution inconnue")).alias("institution"),
         F.coalesce(F.nullif("pays", F.lit("")), F.lit("Pays inconnu")).alias("country"),
-    )
+        F.explode(F.sequence(F.lit(1), copies)).alias("_copy"),
+    ).drop("_copy")
 
 
 def author_list(articles: DataFrame, authors: DataFrame, article_author: DataFrame,
