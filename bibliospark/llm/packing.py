@@ -41,19 +41,36 @@ SHARD_TOKENS = 2_000_000
 K1, B = 1.2, 0.75
 QUERY_TERMS = 12
 NEIGHBOURS = 24
-#: Chunks whose ids a worker remembers (about 100 MB), and their longest.
-REMEMBERED, CHUNK_CHARS = 400_000, 64
+#: Chunks whose ids a worker remembers (about 300 MB), and their longest; chunks encoded in one call.
+REMEMBERED, CHUNK_CHARS, TOGETHER = 1_500_000, 64, 2000
+#: Fixed value: how byte-level vocabularies write a blank.
+BLANK = "\u0120"
+#: Marks of chunks that no blank stands before. Texts that hold one of ``ODD`` or
+#: match a pattern of ``ODD_RUNS`` (other white space, runs of it, stops behind
+#: anything but letters and digits) are cut at single blanks alone.
+STOP, BREAK = "\x01", "\x02"
+ODD = (STOP, BREAK, "  ", "\n\n", " \n", "\n ", " .", " ,", "\n.", "\n,", "_.", "_,")
+ODD_RUNS = (re.compile(r"[^\S \n]"), re.compile(r"[^\w\s][.,][ \n]"))
+
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 
 
+def id_type(size: int) -> str:
+    """Little-endian unsigned ids as narrow as the vocabulary allows."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 class Encoder:
     """Token ids of whole texts by one tokenizers file.
 
     Byte-level BPE splits a text before every single blank between two
-    non-blanks, so the chunks between such blanks are encoded on their own and
-    common ones remembered; the ids are those of the whole text.
+    non-blanks, before a full stop or comma between an alphanumeric character
+    and a blank, and around a single line break. The chunks between those places
+    are encoded on their own and remembered. New chunks are encoded many to a
+    call, as one text, and cut apart where ids begin with a blank; the ids are
+    those of the whole text.
     """
 
     def __init__(self, path: str):
@@ -61,47 +78,97 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.width = id_type(self.tokenizer.get_vocab_size())
         self.known: dict[str, bytes] = {}
-
-    def _chunks(self, text: str) -> list[str]:
-        if re.search(r"\s ", text):  # longer blanks: cut only between non-blanks
-            return re.split(r"(?<=\S) (?=\S)", text)
-        return text.split(" ")
+        self.blank = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.blank[k] = token.startswith(BLANK)
+        self.line = np.zeros(len(self.blank), bool)
+        self.line[self._ids(["\n"])[0]] = True
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.width) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _chunks(text: str) -> list[str]:
+        """The text's head, then chunks: plain ones stand behind a blank,
+        ones begun with ``STOP`` behind nothing, with ``BREAK`` behind a line break."""
+        odd = (any(x in text for x in ODD) or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n")
+               or any(x.search(text) for x in ODD_RUNS))
+        if not odd:
+            return (text.replace("\n", " " + BREAK).replace(". ", " " + STOP + ". ")
+                    .replace(", ", " " + STOP + ", ").split(" "))
+        if STOP in text or BREAK in text:
+            return [text]
+        return re.split(r"(?<=\S) (?=\S)", text)  # cut only at blanks between non-blanks
+
+    def _together(self, words: list[str], mark: str, starts: np.ndarray) -> dict[str, bytes]:
+        """Ids of words, each with the mark before it."""
+        out = {}
+        for k in range(0, len(words), TOGETHER):
+            part = words[k:k + TOGETHER]
+            (ids,) = self._ids([mark + mark.join(part)])
+            at = np.flatnonzero(starts[ids]).tolist()
+            if len(at) == len(part):
+                data, size = ids.tobytes(), ids.itemsize
+                at = [a * size for a in at] + [len(data)]
+                out |= zip(part, [data[a:b] for a, b in zip(at, at[1:])])
+            else:  # a vocabulary with the mark inside its tokens
+                out |= zip(part, [x.tobytes() for x in self._ids([mark + c for c in part])])
+        return out
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        new = sorted(c for c in chunks if c not in self.known)
-        ids = self.tokenizer.encode_batch_fast([" " + c for c in new], add_special_tokens=False)
-        fresh = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, ids)}
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {}
-        self.known |= {c: x for c, x in list(fresh.items())[:REMEMBERED] if len(c) <= CHUNK_CHARS}
-        return fresh
+        """Ids of chunks with what stands before them."""
+        plain, lines, odd = [], [], []
+        for c in chunks:
+            if c == "" or c[-1].isspace() or " " in c or c[0] == STOP:
+                odd.append(c)
+            elif c[0] == BREAK:
+                lines.append(c[1:])
+            else:
+                plain.append(c)
+        out = self._together(plain, " ", self.blank)
+        # chunks begun with a line break hold no other, so its id cuts them apart
+        out |= {BREAK + c: x for c, x in self._together(lines, "\n", self.line).items()}
+        out |= zip(odd, [x.tobytes() for x in self._ids([c[1:] if c[:1] == STOP else " " + c for c in odd])])
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self._chunks(t) for t in texts]
-        heads = self.tokenizer.encode_batch_fast([c[0] for c in cut], add_special_tokens=False)
-        before = self.known
-        fresh = self._learn({c for chunks in cut for c in chunks[1:]})
-        of = {**fresh} if self.known is before else {**before, **fresh}
-        known = self.known if self.known is before else {}
-        out = []
-        for head, chunks in zip(heads, cut):
-            parts = [known.get(c) or of[c] for c in chunks[1:]]
-            out.append(np.concatenate((np.array(head.ids, "<u4"), np.frombuffer(b"".join(parts), "<u4"))))
+        heads = self._ids([c.pop(0) for c in cut])
+        known = self.known
+        fresh = self._learn(set().union(*cut).difference(known))
+        known |= fresh
+        out = [np.concatenate((head, np.frombuffer(b"".join(map(known.__getitem__, chunks)), self.width)))
+               for head, chunks in zip(heads, cut)]
+        for c in [c for c in fresh if len(c) > CHUNK_CHARS]:
+            del known[c]
+        if len(known) > REMEMBERED:
+            known.clear()
         return out
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder, with what it remembers, for all tasks of a Python worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def default_path() -> str:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def tokens(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, text_hash, n, ids) per row of ``docs``: ids little-endian
-    unsigned 32-bit, the end id last."""
+    """(doc_id, text_hash, n, ids) per row of ``docs``: ids packed little-endian
+    as wide as ``id_type`` says, the end id last."""
     def encode(batches):
-        encoder = Encoder(tokenizer_path or default_path())
-        end = np.array([end_id], "<u4")
+        encoder = encoder_of(tokenizer_path or default_path())
+        end = np.array([end_id], encoder.width)
         for b in batches:
             ids = [np.concatenate((x, end)) for x in encoder.encode(b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(
@@ -114,13 +181,14 @@ def tokens(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = END
             .mapInArrow(encode, "doc_id long, text_hash long, n long, ids binary"))
 
 
-def document_frequencies(tokenised: DataFrame) -> DataFrame:
+def document_frequencies(tokenised: DataFrame, width: str) -> DataFrame:
     """(term, df) over all documents; as many rows as distinct token ids."""
     def count(batches):
         df = np.zeros(0, np.int64)
         for b in batches:
             for x in b.column(0).to_pylist():
-                seen = np.unique(np.frombuffer(x, "<u4"))
+                seen = np.sort(np.frombuffer(x, width), kind="stable")  # a radix sort for narrow ids
+                seen = seen[np.concatenate(([True], seen[1:] != seen[:-1]))]
                 if seen[-1] >= len(df):
                     df = np.concatenate((df, np.zeros(int(seen[-1]) + 1 - len(df), np.int64)))
                 df[seen] += 1
@@ -211,9 +279,11 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer_path: str | None = Non
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, and the piece's ids if asked for. Sequence ids are
     unique, not dense: shard * 2^32 + the sequence's number in it."""
+    from tokenizers import Tokenizer
+    width = id_type(Tokenizer.from_file(tokenizer_path or default_path()).get_vocab_size())
     made = materialise(tokens(docs, tokenizer_path, end_id), "tokens")
     total, n_docs = made.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    counts = document_frequencies(made).toPandas()  # bounded by the vocabulary
+    counts = document_frequencies(made, width).toPandas()  # bounded by the vocabulary
     df = np.zeros(int(counts["term"].max()) + 1 if len(counts) else 1)
     df[counts["term"].to_numpy(np.int64)] = counts["df"]
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
@@ -222,9 +292,9 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer_path: str | None = Non
 
     def pack_group(key, table):
         table = table.sort_by([("doc_id", "ascending"), ("text_hash", "ascending")])
-        ids = [np.frombuffer(x, "<u4") for x in table["ids"].to_pylist()]
+        ids = [np.frombuffer(x, width) for x in table["ids"].to_pylist()]
         pieces = np.array(pack_shard(ids, idf, mean, window), np.int64).reshape(-1, 5)
-        cut = [ids[k][s:s + n].tobytes() for k, s, n in pieces[:, :3].tolist()]
+        cut = [ids[k][s:s + n].astype("<u4").tobytes() for k, s, n in pieces[:, :3].tolist()]
         doc, start, length, seq, offset = pieces.T
         cols = [table["doc_id"].take(pa.array(doc)), start, length, [zlib.crc32(x) for x in cut],
                 table["n"].take(pa.array(doc)), seq + (key[0].as_py() << 32), offset]
