@@ -9,7 +9,8 @@ weight * ``SHARPNESS`` + Gumbel noise; the noise comes from a hash of the row, s
 a rerun selects the same rows.
 
 Plan: one pass counts buckets in each task (a vector of fixed size per model),
-one pass scores. The k-th largest key is found by counting keys in 4,096 bins of
+one pass scores; the ids of the target documents, at most ``TARGETS``, are
+broadcast, so no text is shuffled. The k-th largest key is found by counting keys in 4,096 bins of
 the remaining range, round by round, so nothing is sorted or collected but bin
 counts. Every document is counted and scored; k is the sampling operator's
 feature.
@@ -34,6 +35,9 @@ from .common import materialise, small_batches, whole_text
 
 BUCKETS = 16_384
 SHARPNESS = 4.0
+#: Target documents the target model is learned from: a bounded sample of the
+#: labelled rows, taken by hash where there are more. The raw model counts all.
+TARGETS = 2_000_000
 #: Share of the documents with words that is drawn.
 SHARE = 0.5
 _BINS = 4096
@@ -52,7 +56,11 @@ def models(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> np.nda
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(
         F.col("doc_id").alias("good")).distinct()
     good = materialise(good, "targets")
-    rows = docs.join(good, docs["doc_id"] == good["good"], "left").select(
+    n = good.count()
+    if n > TARGETS:  # about TARGETS of them, by a hash of the id
+        good = good.where(F.pmod(F.xxhash64("good"), F.lit(1 << 30)) < F.lit((TARGETS << 30) // n))
+    # at most about TARGETS ids of 8 bytes
+    rows = docs.join(F.broadcast(good), docs["doc_id"] == good["good"], "left").select(
         whole_text(docs["text"]).alias("text"), F.col("good").isNotNull().alias("target"))
 
     def count(batches):

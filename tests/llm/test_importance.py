@@ -52,3 +52,15 @@ def test_gumbel_draws_follow_the_weights(spark, docs_of):
     got = importance.resample(docs_of(rows), labels_of(spark, []), share=0.3).collect()
     drawn = [r.doc_id < 1000 for r in got if r.selected]  # equal weights: both alike
     assert len(drawn) == 600 and abs(sum(drawn) - 300) < 60
+
+
+def test_target_sample_is_bounded(spark, docs_of, monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(importance, "TARGETS", 50)
+    docs = docs_of([(i, f"t{i} same") for i in range(400)])
+    labels = labels_of(spark, [(i, 1, 0) for i in range(400)])
+    ratio = importance.models(docs, labels)
+    seen = [i for i in range(400) if ratio[importance.ngram_buckets(f"t{i}")[0]] > -0.3]
+    assert 20 < len(seen) < 100
+    monkeypatch.setattr(importance, "TARGETS", 400)
+    assert np.allclose(importance.models(docs, labels), 0)
