@@ -63,13 +63,28 @@ def ruled(pages: DataFrame, rules=tuple(RULES)) -> DataFrame:
     return rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
 
 
+def most_frequent(counts: DataFrame, size: int) -> list:
+    """The rows of ``counts`` (with column n) of the largest counts, ``size`` at
+    most: classes of nearly equal counts are taken whole, from the largest, while
+    they fit. Only class sizes and the kept rows reach the driver."""
+    counts = materialise(counts.withColumn("class", F.floor(F.log2(F.col("n")) * 64)), "counts")
+    sizes = counts.groupBy("class").agg(F.count(F.lit(1)).alias("c")).collect()  # at most 64 * 64 rows
+    left, least = size, None
+    for k, c in sorted(((r["class"], r["c"]) for r in sizes), reverse=True):
+        if c > left:
+            break
+        left, least = left - c, k
+    return [] if least is None else counts.where(F.col("class") >= least).collect()
+
+
 def dictionary(pages: DataFrame, size: int = DICTIONARY) -> dict[str, float]:
-    """Log probabilities of the most frequent words of all pages' texts."""
+    """Log probabilities, among themselves, of the most frequent words of all
+    pages' texts."""
     text = F.regexp_replace(F.coalesce("html", F.lit("")), r"<[^>]*>", " ")
     words = (pages.select(F.explode(F.split(lower_ascii(text), r"[^a-z]+")).alias("word"))
              .where((F.length("word") > 0) & (F.length("word") <= LONGEST))
              .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    rows = words.orderBy(F.desc("n"), "word").limit(size).collect()  # bounded by the dictionary's size
+    rows = most_frequent(words, size)
     total = sum(r["n"] for r in rows) or 1
     return {r["word"]: math.log(r["n"] / total) for r in rows}
 
@@ -141,7 +156,7 @@ def train(rows: DataFrame, words: dict[str, float], size: int = FEATURES) -> tup
                    F.sum((F.col("ruled") == "allow").cast("long")).alias("allow")))
     counts = materialise(counts, "url-tokens")
     total = counts.agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.count(F.lit(1)).alias("n")).first()
-    kept = counts.orderBy(F.desc(F.col("block") + F.col("allow")), "token").limit(size).collect()  # bounded by `size`
+    kept = most_frequent(counts.withColumn("n", F.col("block") + F.col("allow")), size)
     below_block, below_allow = (total["block"] or 0) + total["n"] + 1, (total["allow"] or 0) + total["n"] + 1
     weights = {r["token"]: math.log((r["block"] + 1) / below_block) - math.log((r["allow"] + 1) / below_allow)
                for r in kept}

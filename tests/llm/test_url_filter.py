@@ -82,3 +82,12 @@ def test_one_class_none_and_edge_rows(spark):
     assert url_filter.judge(frame(spark, [])).count() == 0
     twice = url_filter.judge(frame(spark, [(None, "http://x.org/", None, None)] * 2 + page_rows(["http://x.com/"]))).collect()
     assert len(twice) == 3 and {r.verdict for r in twice} == {"allow"}
+
+
+def test_most_frequent_takes_whole_classes_within_the_bound(spark):
+    counts = spark.createDataFrame([(f"w{i}", n) for i, n in enumerate([1] * 20 + [2] * 5 + [90, 91, 3000])], "word string, n long")
+    for size, want in ((100, 28), (28, 28), (27, 8), (8, 8), (7, 3), (2, 2), (1, 1), (0, 0)):
+        rows = url_filter.most_frequent(counts, size)
+        assert len(rows) == want and len(rows) <= max(size, 0)
+        assert sorted((r.n for r in rows), reverse=True) == sorted([1] * 20 + [2] * 5 + [90, 91, 3000], reverse=True)[:want]
+    assert url_filter.most_frequent(counts.where("false"), 5) == []
