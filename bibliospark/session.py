@@ -77,14 +77,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Hand this package to the executors of a cluster where it is not
-    installed: Python tasks import it by name. A local session needs nothing."""
-    if spark.sparkContext.master.startswith("local"):
+    """Hand this package to Python tasks where they cannot import it: they load
+    it by name. Does nothing where the working folder or PYTHONPATH of this
+    process, which the workers share, holds it, or where it was handed on."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    root, sc = os.path.dirname(package), spark.sparkContext
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if root in [os.path.abspath(p) for p in known if p] or getattr(sc, "_bibliospark_shipped", False):
         return
-    root = os.path.dirname(os.path.abspath(__file__))
     archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="bibliospark-"), "bibliospark"), "zip",
-                                  os.path.dirname(root), os.path.basename(root))
-    spark.sparkContext.addPyFile(archive)
+                                  root, os.path.basename(package))
+    sc.addPyFile(archive)
+    sc._bibliospark_shipped = True
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
