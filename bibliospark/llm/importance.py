@@ -3,10 +3,9 @@
 Two generative models over hashed word uni- and bigrams, one of the target text
 (documents labelled as good and not toxic) and one of the raw text (all
 documents), are bags of ``BUCKETS`` bucket probabilities. A document's weight is
-the log ratio of its probability under both, per n-gram, so that length does not
-decide. Sampling without replacement by these weights takes the k largest keys
-weight * ``SHARPNESS`` + Gumbel noise; the noise comes from a hash of the row, so
-a rerun selects the same rows.
+the log ratio of its probability under both models. Sampling without
+replacement by these weights takes the k largest keys log ratio + Gumbel noise;
+the noise comes from a hash of the row, so a rerun selects the same rows.
 
 Plan: one pass counts buckets in each task (a vector of fixed size per model),
 one pass scores; the ids of the target documents, at most ``TARGETS``, are
@@ -15,8 +14,8 @@ the remaining range, round by round, so nothing is sorted or collected but bin
 counts. Every document is counted and scored; k is the sampling operator's
 feature.
 
-Defined cases: null text and text without words have no n-grams and weight
-null; they are never selected. Equal rows share their noise and are selected
+Defined cases: null text and text without words have no n-grams and a null
+ratio; they are never selected. Equal rows share their noise and are selected
 together, so at ties of the k-th key more than k rows may be selected. Without
 target documents the target model is uniform. A document in `labels` more than
 once is a target document if one of its rows says so.
@@ -34,12 +33,11 @@ from pyspark.sql import functions as F
 from .common import materialise, small_batches, whole_text
 
 BUCKETS = 16_384
-SHARPNESS = 4.0
 #: Target documents the target model is learned from: a bounded sample of the
 #: labelled rows, taken by hash where there are more. The raw model counts all.
 TARGETS = 2_000_000
 #: Share of the documents with words that is drawn.
-SHARE = 0.5
+SHARE = 0.85
 _BINS = 4096
 
 
@@ -109,10 +107,9 @@ def kth_largest(keys: DataFrame, k: int) -> float | None:
     return high
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, buckets: int = BUCKETS,
-             sharpness: float = SHARPNESS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_ngrams, weight (log ratio per
-    n-gram), key (with Gumbel noise), selected."""
+def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, buckets: int = BUCKETS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_ngrams, log_ratio, key (with
+    Gumbel noise), selected."""
     small_batches(docs.sparkSession)
     ratio = models(docs, labels, buckets)
 
@@ -123,17 +120,17 @@ def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, buckets:
             for x, text in zip(h, texts):
                 at = ngram_buckets(text, buckets)
                 n.append(len(at))
-                w = float(ratio[at].mean()) if len(at) else None
+                w = float(ratio[at].sum()) if len(at) else None
                 u = ((x % (1 << 64) >> 12) + 0.5) / (1 << 52)
                 weight.append(w)
-                key.append(None if w is None else sharpness * w - float(np.log(-np.log(u))))
+                key.append(None if w is None else w - float(np.log(-np.log(u))))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(weight, pa.float64()), pa.array(key, pa.float64())],
-                ["doc_id", "n_ngrams", "weight", "key"])
+                ["doc_id", "n_ngrams", "log_ratio", "key"])
 
     text = whole_text("text")
     scored = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.lit("gumbel"), "doc_id", text).alias("h"),
-                         text.alias("text")).mapInArrow(score, "doc_id long, n_ngrams long, weight double, key double")
+                         text.alias("text")).mapInArrow(score, "doc_id long, n_ngrams long, log_ratio double, key double")
     scored = materialise(scored, "scored")
     with_words = scored.agg(F.count("key")).first()[0]
     least = kth_largest(scored, round(with_words * share))

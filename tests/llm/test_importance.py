@@ -15,12 +15,12 @@ def test_target_like_documents_are_drawn(spark, docs_of):
     rows = [(i, " ".join(rnd.choice(good if i % 2 else bad) for _ in range(80))) for i in range(400)]
     # labels on the first half; the second half is held out
     labels = labels_of(spark, [(i, i % 2, 0) for i in range(200)] + [(1, 1, 0), (3, 0, 0)])
-    got = {r.doc_id: r for r in importance.resample(docs_of(rows), labels).collect()}
+    got = {r.doc_id: r for r in importance.resample(docs_of(rows), labels, share=0.5).collect()}
     drawn = [d for d, r in got.items() if r.selected]
     assert len(drawn) == 200
     held = [d for d in got if d >= 200]
     assert sum(got[d].selected == bool(d % 2) for d in held) >= 0.9 * len(held)
-    assert all(got[d].weight > got[d + 1].weight for d in range(1, 399, 2))
+    assert all(got[d].log_ratio > got[d + 1].log_ratio for d in range(1, 399, 2))
 
 
 def test_toxic_rows_are_no_target_and_edge_rows(spark, docs_of):
@@ -29,7 +29,7 @@ def test_toxic_rows_are_no_target_and_edge_rows(spark, docs_of):
     out = importance.resample(docs, labels_of(spark, [(1, 1, 0), (5, 1, 1), (None, 1, 0), (77, 1, None)]), share=1.0).collect()
     assert len(out) == len(rows)
     for r in out:
-        assert r.selected == (r.n_ngrams > 0) and (r.weight is None) == (r.n_ngrams == 0)
+        assert r.selected == (r.n_ngrams > 0) and (r.log_ratio is None) == (r.n_ngrams == 0)
     n = {r.doc_id: r.n_ngrams for r in out}
     assert n[1] == 5 and n[5] == 1 and n[2] == 0 and n[6] == 99_999
     assert importance.resample(docs.where("false"), labels_of(spark, [])).count() == 0
