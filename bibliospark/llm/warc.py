@@ -1,14 +1,16 @@
 """Operator 5, WARC: a PySpark Python data source and its writer.
 
-`spark.read.format("warc")` reads archives from any file system that pyarrow
-opens by URI. Partitions are planned from the files' sizes. A record is a gzip
-member of its own; its extra field `sl` tells the member's length, so a record
-that is not wanted is passed over without inflating the rest of it. Of every
-record only the header is inflated and parsed first; predicates on the header
-columns (equality, membership, comparison, null tests on record_type, record_id,
-refers_to, target_uri, payload_digest, payload_bytes) are pushed into the
-reader, and the payload is inflated only for records that pass, and only if
-the payload is asked for (option `payload`).
+`spark.read.format("warc")` reads archives (`.warc`, and `.warc.gz` with a gzip
+member per record) from any file system that pyarrow opens by URI. Partitions
+are planned from the files' sizes. Of every record the header is read and
+parsed first; predicates on the header columns (equality, membership,
+comparison, prefixes and null tests on record_type, record_id, refers_to,
+target_uri, payload_digest, payload_bytes) are pushed into the reader. The
+payload is decoded only for records that pass, and only if asked for (option
+`payload`). Records that are not wanted are passed over: by their Content-Length
+in plain archives, by the member's length in gzip archives whose members carry
+it (extra field `sl`, as the writer's do); other members are inflated to their
+end without being kept. The payload of an HTTP response record is its body.
 
 The writer makes a record per page: of pages with equal payloads of at least
 1000 bytes that with the largest page_id is the response, the others revisit
@@ -20,14 +22,15 @@ Plan: payloads of a digest are counted by a pre-aggregated shuffle of digests;
 only digests that occur again join back, read from a written table, so a hot
 payload's partition can be split. Html never shuffles.
 
-Defined cases: null html is an empty payload; null url and page_id are absent
-headers; of rows that share the largest page_id each is a response; equal rows
+Defined cases: null html is an empty payload; a null url is an absent
+header, a null page_id a record named by a UUID; of rows that share the largest page_id each is a response; equal rows
 give a record each. Equal payloads are known by SHA-1 and length. Line breaks in
 a url are written percent-encoded, so a url cannot forge a header.
 """
 
 from __future__ import annotations
 
+import datetime
 import struct
 import uuid
 import zlib
@@ -52,6 +55,8 @@ FIELDS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to"
           "target_uri": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest",
           "payload_bytes": "X-Payload-Bytes"}
 _ID = "urn:page:"
+#: Fixed value: the response head before each payload; pages come without their own.
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
 def _open(uri: str):
@@ -63,8 +68,7 @@ def _open(uri: str):
 
 def member(headers: list[tuple[str, str]], block: bytes) -> bytes:
     """One record as a gzip member whose `sl` field holds its length and the record's."""
-    lines = ["WARC/1.1", *[f"{k}: {v}" for k, v in headers], f"Content-Length: {len(block)}", "", ""]
-    record = "\r\n".join(lines).encode() + block + b"\r\n\r\n"
+    record = plain(headers, block)
     deflate = zlib.compressobj(1, zlib.DEFLATED, -15)
     body = deflate.compress(record) + deflate.flush()
     size = 10 + 14 + len(body) + 8
@@ -73,6 +77,12 @@ def member(headers: list[tuple[str, str]], block: bytes) -> bytes:
             + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF))
 
 
+def plain(headers: list[tuple[str, str]], block: bytes) -> bytes:
+    """One record as it stands in an archive that is not compressed."""
+    lines = ["WARC/1.1", *[f"{k}: {v}" for k, v in headers], f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
+
+
 def _escaped(url: str) -> str:
     return url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
 
@@ -83,55 +93,129 @@ def _unescaped(url: str) -> str:
 
 def _header(head: bytes) -> dict:
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:] if ": " in line)
-    out = {c: fields.get(name) for c, name in FIELDS.items()}
+    fields = {k.lower(): v for k, v in fields.items()}
+    out = {c: fields.get(name.lower()) for c, name in FIELDS.items()}
     out["payload_bytes"] = int(out["payload_bytes"]) if out["payload_bytes"] else None
-    out["length"] = int(fields["Content-Length"])
+    out["length"] = int(fields["content-length"])
+    out["http"] = fields.get("content-type", "").startswith("application/http")
     if out["target_uri"] is not None:
         out["target_uri"] = _unescaped(out["target_uri"])
     return out
 
 
-def records(stream, wanted, payload: bool):
-    """(header, payload or None) of the records of an open archive that pass ``wanted``."""
-    window = 1 << 16
-    buffer, at = b"", 0
+class _Input:
+    """A stream that can look ahead, skip, and take bytes back."""
+
+    STEP = 1 << 16
 
-    def need(n):
-        nonlocal buffer, at
-        while len(buffer) - at < n:
-            more = stream.read(max(window, n - (len(buffer) - at)))
+    def __init__(self, stream):
+        self.stream, self.held, self.at = stream, b"", 0
+
+    def look(self, n: int) -> bytes:
+        """The next n bytes, or what is left, without passing them."""
+        while len(self.held) - self.at < n:
+            more = self.stream.read(max(self.STEP, n))
+            if not more:
+                break
+            self.held, self.at = self.held[self.at:] + more, 0
+        return self.held[self.at:self.at + n]
+
+    def take(self, n: int) -> bytes:
+        out = self.look(n)
+        self.at += len(out)
+        return out
+
+    def back(self, data: bytes) -> None:
+        self.held, self.at = data + self.held[self.at:], 0
+
+    def skip(self, n: int) -> None:
+        left = len(self.held) - self.at
+        if n > left:
+            self.stream.seek(n - left, 1)
+            self.held, self.at = b"", 0
+        else:
+            self.at += n
+
+
+def _take(read):
+    """A record's header, from ``read()`` giving the record's bytes in order; a
+    function that returns its block; and the bytes read beyond the header."""
+    text = b""
+    while b"\r\n\r\n" not in text:
+        more = read()
+        if not more:
+            raise ValueError("archive ends within a record")
+        text += more
+    head, _, rest = text.partition(b"\r\n\r\n")
+    header = _header(head)
+
+    def block():
+        parts, left = [rest], header["length"] - len(rest)
+        while left > 0:
+            more = read()
             if not more:
-                return False
-            buffer, at = buffer[at:] + more, 0
-        return True
-
-    while need(24):
-        if buffer[at:at + 4] != b"\x1f\x8b\x08\x04" or buffer[at + 12:at + 14] != b"sl":
-            raise ValueError("not a record-compressed archive with member lengths")
-        (size,) = struct.unpack_from("<I", buffer, at + 16)
-        inflate, text, got = zlib.decompressobj(-15), b"", 24
-        while b"\r\n\r\n" not in text:  # the header comes first and is short
-            step = min(4096, size - 8 - got)
-            if step <= 0 or not need(got + step):
-                raise ValueError("archive ends within a record")
-            text += inflate.decompress(buffer[at + got:at + got + step])
-            got += step
-        head, _, rest = text.partition(b"\r\n\r\n")
-        header = _header(head)
-        if wanted(header):
-            block = None
-            if payload:
-                if not need(size):
-                    raise ValueError("archive ends within a record")
-                block = (rest + inflate.decompress(buffer[at + got:at + size - 8]))[:header["length"]]
-                if len(block) != header["length"]:
-                    raise ValueError("record shorter than its Content-Length")
-            yield header, block
-        if len(buffer) - at >= size:
-            at += size
-        else:  # pass over what is left of the member without reading it
-            stream.seek(size - (len(buffer) - at), 1)
-            buffer, at = b"", 0
+                raise ValueError("record shorter than its Content-Length")
+            parts.append(more)
+            left -= len(more)
+        return b"".join(parts)[:header["length"]]
+
+    return header, block, rest
+
+
+def _payload(header: dict, block: bytes) -> bytes:
+    return block.partition(b"\r\n\r\n")[2] if header["http"] else block
+
+
+def records(stream, wanted, payload: bool):
+    """(header, payload or None) of the records of an open archive that pass ``wanted``."""
+    source = _Input(stream)
+    while start := source.look(24):
+        if start[:2] == b"\x1f\x8b":
+            inflate, taken = zlib.decompressobj(31), 0
+
+            def read():
+                nonlocal taken
+                while not inflate.eof:
+                    step = source.take(4096)
+                    taken += len(step)
+                    text = inflate.decompress(step)
+                    if text or not step:
+                        return text
+                return b""
+
+            header, block, _ = _take(read)
+            if wanted(header):
+                yield header, _payload(header, block()) if payload else None
+            if start[3] & 4 and start[12:14] == b"sl":
+                size = struct.unpack_from("<I", start, 16)[0]
+                if taken <= size:
+                    source.skip(size - taken)
+                else:
+                    source.back(inflate.unused_data)
+            else:  # the member's end is where it inflates to
+                while not inflate.eof:
+                    if not read() and not inflate.eof:
+                        raise ValueError("archive ends within a record")
+                source.back(inflate.unused_data)
+        elif start[:5] == b"WARC/":
+            taken = 0
+
+            def read():
+                nonlocal taken
+                step = source.take(4096)
+                taken += len(step)
+                return step
+
+            header, block, rest = _take(read)
+            end = taken - len(rest) + header["length"] + 4
+            if wanted(header):
+                yield header, _payload(header, block()) if payload else None
+            if taken <= end:
+                source.skip(end - taken)
+            else:
+                source.at -= taken - end  # the last step is still held
+        else:
+            raise ValueError("not a WARC record")
 
 
 # --- data source ---------------------------------------------------------------
@@ -191,7 +275,7 @@ class WarcReader(D.DataSourceReader):
         system, path = _open(paths)
         scheme = paths.split(":", 1)[0] + "://" if "://" in paths else ""
         found = system.get_file_info(fs.FileSelector(path, recursive=True))
-        return [[scheme + f.path, f.size] for f in found if f.path.endswith(".warc.gz")]
+        return [[scheme + f.path, f.size] for f in found if f.path.endswith((".warc", ".warc.gz"))]
 
     def partitions(self):
         out, held, size = [], [], 0
@@ -259,15 +343,16 @@ def write(pages: DataFrame, folder: str) -> list:
             for page, url, html, digest, n, first in zip(*[c.to_pylist() for c in b.columns]):
                 revisit = first is not None and page != first
                 headers = [("WARC-Type", "revisit" if revisit else "response")]
-                if page is not None:
-                    headers.append(("WARC-Record-ID", f"<{_ID}{page}>"))
+                name_of = f"{_ID}{page}" if page is not None else f"urn:uuid:{uuid.uuid4()}"
+                headers += [("WARC-Record-ID", f"<{name_of}>"), ("WARC-Date", date),
+                            ("Content-Type", "application/http; msgtype=response")]
                 if revisit:
                     headers.append(("WARC-Refers-To", f"<{_ID}{first}>"))
                     headers.append(("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
                 if url is not None:
                     headers.append(("WARC-Target-URI", _escaped(url)))
                 headers += [("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Bytes", str(n))]
-                data = member(headers, b"" if revisit else html)
+                data = member(headers, HTTP if revisit else HTTP + html)
                 if stream is None or size + len(data) > ARCHIVE_BYTES:
                     close()
                     name, size = f"pages-{uuid.uuid4().hex}.warc.gz", 0
@@ -280,12 +365,13 @@ def write(pages: DataFrame, folder: str) -> list:
                                              ["path", "size"])
 
     small_batches(pages.sparkSession)
+    date = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = planned(pages).select("page_id", "url", "html", "payload_digest", "payload_bytes", "first")
     return [list(r) for r in rows.mapInArrow(save, "path string, size long").collect()]  # a few names per task
 
 
 def _page(column: str):
-    return F.regexp_extract(column, r"(-?\d+)>$", 1).cast("long")
+    return F.regexp_extract(column, f"<{_ID}(-?[0-9]+)>$", 1).try_cast("long")
 
 
 def query(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -296,12 +382,12 @@ def query(spark: SparkSession, pages: DataFrame) -> DataFrame:
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     found = read(spark, paths).where(F.col("record_type") == "response")
     responses = found.select(
-        F.when(F.col("record_id").isNotNull(), _page("record_id")).alias("page_id"),
+        _page("record_id").alias("page_id"),
         F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"),
         "record_type", F.lit(None).cast("long").alias("refers_to"))
     headers = read(spark, paths, payload=False).where(F.col("record_type") == "revisit")
     revisits = headers.select(
-        F.when(F.col("record_id").isNotNull(), _page("record_id")).alias("page_id"), "payload_bytes",
+        _page("record_id").alias("page_id"), "payload_bytes",
         F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "record_type",
         _page("refers_to").alias("refers_to"))
     return responses.select(*columns).unionByName(revisits.select(*columns))

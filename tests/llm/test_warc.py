@@ -67,3 +67,27 @@ def test_skipped_payloads_are_not_read():
     got = list(warc.records(stream, lambda h: h["record_type"] == "none", True))
     assert got == [] and stream.taken < len(data) / 5
     assert [h["length"] for h, _ in warc.records(io.BytesIO(data), lambda h: True, True)] == [900_000] * 4
+
+
+def test_other_archives(tmp_path, spark):
+    """Plain records, and gzip members without their length; not our writer's."""
+    import gzip
+    heads = [[("WARC-Type", "warcinfo")], [("warc-type", "resource"), ("WARC-Target-URI", "http://r/")],
+             [("WARC-Type", "response"), ("Content-Type", "application/http; msgtype=response")]]
+    blocks = [b"software: x\r\n", b"p" * 200_000, b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody\r\n\r\nmore"]
+    want = [("warcinfo", blocks[0]), ("resource", blocks[1]), ("response", b"body\r\n\r\nmore")]
+    plain = [warc.plain(h, b) for h, b in zip(heads, blocks)]
+    for data in (b"".join(plain), b"".join(map(gzip.compress, plain)),
+                 gzip.compress(plain[0]) + warc.member(heads[1], blocks[1]) + plain[2]):
+        got = [(h["record_type"], p) for h, p in warc.records(io.BytesIO(data), lambda h: True, True)]
+        assert got == want
+        some = list(warc.records(io.BytesIO(data), lambda h: h["record_type"] == "response", True))
+        assert [p for _, p in some] == [want[2][1]]
+    (tmp_path / "a.warc").write_bytes(b"".join(plain))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, plain)))
+    rows = warc.read(spark, f"file://{tmp_path}").where("record_type <> 'warcinfo'").collect()
+    assert sorted((r.record_type, bytes(r.payload)) for r in rows) == sorted(want[1:] * 2)
+    import pytest
+    for cut in (plain[1][:5000], gzip.compress(plain[1])[:100], b"no archive at all, only some text"):
+        with pytest.raises(ValueError):
+            list(warc.records(io.BytesIO(cut), lambda h: True, True))
