@@ -249,7 +249,7 @@ def links(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS,
     different lines within ``edits``."""
     if min_chars <= edits * (edits + 1):
         raise ValueError("lines must be longer than edits * (edits + 1) characters")
-    small_batches(docs.sparkSession, 1024)
+    small_batches(docs.sparkSession)
     lines = lines_of(docs, min_chars)
     buckets = buckets_for(docs, BUCKETS_PER_PARTITION)
     shared = materialise(_shared_keys(lines, edits, block, buckets), "shared-keys")
@@ -337,7 +337,7 @@ def strip_lines(docs: DataFrame, min_left: float = MIN_LEFT, **options) -> DataF
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("\0gone").isNull(), F.col("n_chars"))
                              .otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(docs: DataFrame) -> DataFrame:
