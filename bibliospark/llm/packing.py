@@ -41,8 +41,8 @@ SHARD_TOKENS = 2_000_000
 K1, B = 1.2, 0.75
 QUERY_TERMS = 12
 NEIGHBOURS = 24
-#: Chunks whose ids a worker remembers (about 300 MB), and their longest; chunks encoded in one call.
-REMEMBERED, CHUNK_CHARS, TOGETHER = 1_500_000, 64, 2000
+#: Chunks whose ids a worker remembers (about 225 MB), and their longest; chunks encoded in one call.
+REMEMBERED, CHUNK_CHARS, TOGETHER = 900_000, 64, 2000
 #: Fixed value: how byte-level vocabularies write a blank.
 BLANK = "\u0120"
 #: Marks of chunks that no blank stands before. Texts that hold one of ``ODD`` or
