@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import os
 import re
+import threading
 import zlib
 
 import numpy as np
@@ -41,8 +42,9 @@ SHARD_TOKENS = 2_000_000
 K1, B = 1.2, 0.75
 QUERY_TERMS = 12
 NEIGHBOURS = 24
-#: Chunks whose ids a worker remembers (about 225 MB), and their longest; chunks encoded in one call.
-REMEMBERED, CHUNK_CHARS, TOGETHER = 900_000, 64, 2000
+#: Chunks whose ids a worker remembers (about 225 MB) until it has been idle for so
+#: many seconds, and their longest; chunks encoded in one call.
+REMEMBERED, IDLE_SECONDS, CHUNK_CHARS, TOGETHER = 900_000, 5, 64, 2000
 #: Fixed value: how byte-level vocabularies write a blank.
 BLANK = "\u0120"
 #: Marks of chunks that no blank stands before. Texts that hold one of ``ODD`` or
@@ -80,6 +82,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.width = id_type(self.tokenizer.get_vocab_size())
         self.known: dict[str, bytes] = {}
+        self.busy, self.rest = threading.Lock(), None
         self.blank = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, k in self.tokenizer.get_vocab().items():
             self.blank[k] = token.startswith(BLANK)
@@ -134,6 +137,21 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.rest is not None:
+            self.rest.cancel()
+        with self.busy:
+            out = self._encode(texts)
+        # an idle worker gives its memory back
+        self.rest = threading.Timer(IDLE_SECONDS, self.forget)
+        self.rest.daemon = True
+        self.rest.start()
+        return out
+
+    def forget(self) -> None:
+        with self.busy:
+            self.known.clear()
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self._chunks(t) for t in texts]
         heads = self._ids([c.pop(0) for c in cut])
         known = self.known

@@ -14,7 +14,7 @@ def reference_ids(texts):
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_remembered_chunks_give_the_ids_of_whole_texts(spark):
+def test_remembered_chunks_give_the_ids_of_whole_texts(spark, monkeypatch):
     SF001 = "/root/testdata/sf0.001"
     rnd = random.Random(2)
     odd = ["", " ", "  ", "a ", " a", "a  b", "a \n b", "a\n\n  b\tc ", "it's we'll 'S", "<|endoftext|> x <|endoftext|>",
@@ -23,11 +23,15 @@ def test_remembered_chunks_give_the_ids_of_whole_texts(spark):
     odd += [r.text for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()]
     encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     assert [x.tolist() for x in encoder.encode(odd)] == reference_ids(odd)
-    packing.REMEMBERED, kept = 5, packing.REMEMBERED
-    try:
-        assert [x.tolist() for x in encoder.encode(odd)] == reference_ids(odd)
-    finally:
-        packing.REMEMBERED = kept
+    assert encoder.known
+    monkeypatch.setattr(packing, "REMEMBERED", 5)
+    assert [x.tolist() for x in encoder.encode(odd)] == reference_ids(odd)
+    assert not encoder.known
+    monkeypatch.setattr(packing, "REMEMBERED", 10**6)
+    monkeypatch.setattr(packing, "IDLE_SECONDS", 0.05)
+    assert [x.tolist() for x in encoder.encode(odd)] == reference_ids(odd)
+    encoder.rest.join()
+    assert not encoder.known
 
 
 def check(rows, docs, window):
