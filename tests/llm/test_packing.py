@@ -91,3 +91,35 @@ def test_neighbours_share_words(docs_of):
         together.setdefault(r.sequence_id, []).append(r.doc_id % 4)
     alike = sum(max(map(x.count, set(x))) for x in together.values()) / len(rows)
     assert alike > 0.75
+
+
+def test_neighbours_of_all_shards_sit_together(docs_of):
+    rnd = random.Random(12)
+    vocab = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("lt", "rn", "sk", "mp")]
+    docs = []
+    for pair in range(60):
+        base = [rnd.choice(vocab) + str(rnd.randrange(10**6)) for _ in range(60)]
+        for copy in range(2):
+            docs.append((pair * 2 + copy, " ".join(base[:50] + [rnd.choice(vocab) for _ in range(20)])))
+    rows = packing.pack(docs_of(docs), shard_tokens=3000, with_ids=True).collect()
+    short, shards = check(rows, docs, 2048)
+    assert short <= shards and shards > 6
+    shard = {r.doc_id: r.sequence_id >> 32 for r in rows}
+    assert all(shard[2 * k] == shard[2 * k + 1] for k in range(60))
+
+
+def test_one_large_group_is_dealt_over_shards(docs_of):
+    docs = [(k, "the same text in every copy of it " * 20) for k in range(200)]
+    rows = packing.pack(docs_of(docs), shard_tokens=3000, with_ids=True).collect()
+    short, shards = check(rows, docs, 2048)
+    assert short <= shards and shards > 5
+
+
+def test_further_terms_are_asked_while_none_is_found():
+    # the first document's 60 rarest ids are its own, the next ones stand in used documents only
+    docs = [np.concatenate((np.arange(100, 160), np.arange(20), [50])), np.arange(20), np.array([50, 51])]
+    idf = np.ones(200, np.float32)
+    idf[100:160], idf[:20] = 3, 2
+    index = packing.Index(docs, idf, 30.0)
+    assert index.neighbours(0, np.array([True, True, False])) == [2]
+    assert index.neighbours(0, np.array([True, False, False])) == [1]
