@@ -9,11 +9,12 @@ segmented host and the path's tokens then go to a multinomial naive Bayes model
 learned from all urls that a rule decided.
 
 Plan: word counts and the model's counts are pre-aggregated shuffles over all
-rows. The dictionary keeps the ``DICTIONARY`` most frequent words and the model
-the ``FEATURES`` most frequent tokens (bounds of memory on every task: 50,000
-short words, a few MB); counts behind both cover all pages. Each task segments a
-host once while it remembers it. The verdict is a narrow pass over the urls: a
-host that holds a third of all pages is no group anywhere.
+rows, kept whole as tables. The ``DICTIONARY`` most frequent words and the
+``FEATURES`` most frequent tokens are also held by every task (50,000 short
+words, a few MB); what a distinct host or url asks beyond these is joined with
+the table, so each is split and judged by all counts. Pages get their verdict
+by a join of written tables on (host, path), which AQE can split; counts of a
+host are pre-aggregated before they meet its words.
 
 Defined cases: a null url, or one without `://`, has an empty host and path and
 no rule; it is judged by the classes' prior alone. With one class among the
@@ -25,6 +26,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,9 +39,9 @@ from .common import lower_ascii, materialise, small_batches
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
          ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
-#: Words of the segmentation dictionary, the longest of them, tokens of the model.
+#: Words every task holds, the longest word, tokens every task holds.
 DICTIONARY, LONGEST, FEATURES = 50_000, 24, 50_000
-#: Hosts and tokens a task remembers.
+#: Names a task remembers.
 REMEMBERED = 100_000
 
 
@@ -77,41 +80,83 @@ def most_frequent(counts: DataFrame, size: int) -> list:
     return [] if least is None else counts.where(F.col("class") >= least).collect()
 
 
-def dictionary(pages: DataFrame, size: int = DICTIONARY) -> dict[str, float]:
-    """Log probabilities, among themselves, of the most frequent words of all
-    pages' texts."""
+class Known(NamedTuple):
+    """Values by word, counted over all pages: ``value(*counts)`` of the words in
+    ``table`` (word, counts); tasks hold those of the most frequent. ``other`` is
+    the least value, or that of an uncounted word; whole: the table has no others."""
+    held: dict[str, float]
+    table: DataFrame | None
+    value: Callable[..., float]
+    other: float
+    whole: bool
+
+
+def dictionary(pages: DataFrame, size: int = DICTIONARY) -> Known:
+    """Log probabilities of the words of all pages' texts."""
     text = F.regexp_replace(F.coalesce("html", F.lit("")), r"<[^>]*>", " ")
     words = (pages.select(F.explode(F.split(lower_ascii(text), r"[^a-z]+")).alias("word"))
              .where((F.length("word") > 0) & (F.length("word") <= LONGEST))
              .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    rows = most_frequent(words, size)
-    total = sum(r["n"] for r in rows) or 1
-    return {r["word"]: math.log(r["n"] / total) for r in rows}
+    words = materialise(words, "words")
+    all_ = words.agg(F.sum("n").alias("total"), F.min("n").alias("least"), F.count(F.lit(1)).alias("n")).first()
+    total = all_["total"] or 1
+
+    def value(n):
+        return math.log(n / total)
+    held = {r["word"]: value(r["n"]) for r in most_frequent(words, size)}
+    return Known(held, words.select("word", F.array("n").alias("counts")), value,
+                 value(all_["least"] or 1), len(held) == all_["n"])
+
+
+def looked_up(items: DataFrame, keys: list[str], ask, known: Known) -> DataFrame:
+    """``items`` (distinct by their key columns, which come first) with ``found``:
+    (word, counts) of the words that ``ask(row)`` names and tasks do not hold."""
+    if known.whole:
+        return items.withColumn("found", F.array().cast("array<struct<word:string,counts:array<bigint>>>"))
+
+    def asked(batches):
+        for b in batches:
+            out = [(*r[:len(keys)], w) for r in zip(*[c.to_pylist() for c in b.columns]) for w in sorted(ask(r))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in range(len(keys) + 1)],
+                                             [*keys, "word"])
+    hits = items.mapInArrow(asked, ", ".join(f"{k} string" for k in [*keys, "word"])).join(known.table, "word")
+    hits = materialise(hits, "looked-up")
+    found = materialise(hits.groupBy(*keys).agg(F.collect_list(F.struct("word", "counts")).alias("found")), "found")
+    return items.join(found, keys, "left")
+
+
+def _values(found, known: Known) -> dict[str, float]:
+    return {r["word"]: known.value(*r["counts"]) for r in found or ()}
 
 
 class Segmenter:
     """Unigram Viterbi splits of concatenated names."""
 
-    def __init__(self, words: dict[str, float]):
+    def __init__(self, words: dict[str, float], least: float | None = None):
         self.words, self.known = words, {}
         # an unknown run is less likely than any word and costs more the longer it is
-        self.unknown = min(words.values(), default=0.0) - 2.0
+        self.unknown = (min(words.values(), default=0.0) if least is None else least) - 2.0
 
-    def split(self, name: str) -> list[str]:
+    def split(self, name: str, more: dict[str, float] | None = None) -> list[str]:
+        """The best split; ``more`` are words that only this name is known to hold."""
+        if more:
+            return self._split(name, more)
         got = self.known.get(name)
         if got is None:
-            got = self._split(name)
+            got = self._split(name, {})
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             self.known[name] = got
         return got
 
-    def _split(self, name: str) -> list[str]:
+    def _split(self, name: str, more: dict[str, float]) -> list[str]:
         best, cut = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
         for end in range(1, len(name) + 1):
             for start in range(max(0, end - LONGEST), end):
                 word = name[start:end]
                 p = self.words.get(word)
+                if p is None:
+                    p = more.get(word)
                 score = best[start] + (p if p is not None else self.unknown - 3.0 * (end - start))
                 if score > best[end]:
                     best[end], cut[end] = score, start
@@ -122,66 +167,113 @@ class Segmenter:
         return out[::-1]
 
 
-def tokens(host: str, path: str, segmenter: Segmenter) -> list[str]:
-    """Host words and path tokens, apart from each other; numbers as one token."""
-    out = []
-    for label in host.split("."):
-        for part in re.split(r"[^a-z0-9]+", label):
-            out += ["h:" + w for w in segmenter.split(part)] if part.isalpha() else [f"h:{part}"] if part else []
-    out += ["p:#" if x.isdigit() else "p:" + x for x in re.split(r"[^a-z0-9]+", path.lower()) if x]
-    return out
+def _host_parts(host: str) -> list[str]:
+    return [x for x in re.split(r"[^a-z0-9]+", host) if x]
+
+
+def host_tokens(host: str, segmenter: Segmenter, more: dict[str, float] | None = None) -> list[str]:
+    """Host words; parts with digits stay whole."""
+    return ["h:" + w for x in _host_parts(host) for w in (segmenter.split(x, more) if x.isalpha() else [x])]
+
 
+def path_tokens(path: str) -> list[str]:
+    """Path tokens, apart from host words; numbers as one token."""
+    return ["p:#" if x.isdigit() else "p:" + x for x in re.split(r"[^a-z0-9]+", path.lower()) if x]
 
-def _token_rows(rows: DataFrame, words: dict[str, float]) -> DataFrame:
-    """One row per ruled url's token: token, ruled."""
+
+def _substrings(host: str, held) -> set[str]:
+    """What the host's words may be beyond those held."""
+    return {x[a:b] for x in _host_parts(host) if x.isalpha()
+            for a in range(len(x)) for b in range(a + 1, min(a + LONGEST, len(x)) + 1)}.difference(held)
+
+
+def split_hosts(rows: DataFrame, words: Known) -> DataFrame:
+    """(host, words) of the distinct hosts."""
+    # tasks get the values, not the table
+    task = words._replace(table=None)
+
+    def split(batches):
+        segmenter = Segmenter(task.held, task.other)
+        for b in batches:
+            hosts, found = [c.to_pylist() for c in b.columns]
+            out = [host_tokens(h, segmenter, _values(x, task)) for h, x in zip(hosts, found)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], ["host", "words"])
+
+    hosts = materialise(rows.select("host").distinct(), "hosts")
+    held = task.held
+    found = looked_up(hosts, ["host"], lambda row: _substrings(row[0], held), words)
+    return materialise(found.select("host", "found").mapInArrow(split, "host string, words array<string>"), "host-words")
+
+
+def _path_rows(rows: DataFrame) -> DataFrame:
+    """One row per token of a ruled url's path: token, ruled, n."""
     def cut(batches):
-        segmenter = Segmenter(words)
         for b in batches:
-            out = [(t, v) for h, p, v in zip(*[c.to_pylist() for c in b.columns]) for t in tokens(h, p, segmenter)]
+            out = [(t, v) for p, v in zip(*[c.to_pylist() for c in b.columns]) for t in path_tokens(p)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)],
                                              ["token", "ruled"])
-    return rows.select("host", "path", "ruled").mapInArrow(cut, "token string, ruled string")
+    return rows.select("path", "ruled").mapInArrow(cut, "token string, ruled string").withColumn("n", F.lit(1).cast("long"))
 
 
-def train(rows: DataFrame, words: dict[str, float], size: int = FEATURES) -> tuple[dict[str, float], float]:
-    """Weights log P(token | block) - log P(token | allow) by token, for others
-    under '', and the prior's; learned from all rows with a rule's verdict."""
+def train(rows: DataFrame, hosts: DataFrame, size: int = FEATURES) -> tuple[Known, float]:
+    """Weights log P(token | block) - log P(token | allow) by token and the
+    prior's; learned from all rows with a rule's verdict."""
     labelled = rows.where("ruled is not null")
     classes = {r["ruled"]: r["count"] for r in labelled.groupBy("ruled").count().collect()}  # two rows
     n_block, n_allow = classes.get("block", 0), classes.get("allow", 0)
     if not n_block or not n_allow:
-        return {}, float("inf") if n_block else float("-inf")
-    counts = (_token_rows(labelled, words).groupBy("token")
-              .agg(F.sum((F.col("ruled") == "block").cast("long")).alias("block"),
-                   F.sum((F.col("ruled") == "allow").cast("long")).alias("allow")))
+        return Known({}, None, float, 0.0, True), float("inf") if n_block else float("-inf")
+    ruled_hosts = labelled.groupBy("host", "ruled").agg(F.count(F.lit(1)).alias("n"))
+    host_rows = ruled_hosts.join(hosts, "host").select(F.explode("words").alias("token"), "ruled", "n")
+    counts = (host_rows.unionByName(_path_rows(labelled)).groupBy("token")
+              .agg(F.sum(F.when(F.col("ruled") == "block", F.col("n")).otherwise(0)).alias("block"),
+                   F.sum(F.when(F.col("ruled") == "allow", F.col("n")).otherwise(0)).alias("allow")))
     counts = materialise(counts, "url-tokens")
     total = counts.agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.count(F.lit(1)).alias("n")).first()
-    kept = most_frequent(counts.withColumn("n", F.col("block") + F.col("allow")), size)
     below_block, below_allow = (total["block"] or 0) + total["n"] + 1, (total["allow"] or 0) + total["n"] + 1
-    weights = {r["token"]: math.log((r["block"] + 1) / below_block) - math.log((r["allow"] + 1) / below_allow)
-               for r in kept}
-    weights[""] = math.log(1 / below_block) - math.log(1 / below_allow)
-    return weights, math.log(n_block / n_allow)
+
+    def value(block, allow):
+        return math.log((block + 1) / below_block) - math.log((allow + 1) / below_allow)
+    held = {r["token"]: value(r["block"], r["allow"])
+            for r in most_frequent(counts.withColumn("n", F.col("block") + F.col("allow")), size)}
+    table = counts.select(F.col("token").alias("word"), F.array("block", "allow").alias("counts"))
+    return Known(held, table, value, value(0, 0), len(held) == total["n"]), math.log(n_block / n_allow)
 
 
 def judge(pages: DataFrame, rules=tuple(RULES)) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict, and
     block_score, the model's log odds of block (null where a rule decided)."""
     small_batches(pages.sparkSession)
-    rows = ruled(pages, rules)
-    words = dictionary(pages)
-    weights, prior = train(rows, words)
-    other = weights.get("", 0.0)
+    rows = ruled(pages, rules).withColumn("page_id", F.col("page_id").cast("long"))
+    hosts = split_hosts(rows, dictionary(pages))
+    weights, prior = train(rows, hosts)
+    task = weights._replace(table=None)
+
+    def with_path(batches):
+        for b in batches:
+            host, path, words = [c.to_pylist() for c in b.columns]
+            out = [w + path_tokens(p) for w, p in zip(words, path)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(out, pa.list_(pa.string()))], ["host", "path", "tokens"])
 
     def score(batches):
-        segmenter = Segmenter(words)
         for b in batches:
-            _, host, path, rule, verdict = [c.to_pylist() for c in b.columns]
-            odds = [None if v is not None else prior + sum(weights.get(t, other) for t in tokens(h, p, segmenter))
-                    for h, p, v in zip(host, path, verdict)]
-            verdict = [v if o is None else "block" if o > 0 else "allow" for v, o in zip(verdict, odds)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(verdict, pa.string()), pa.array(odds, pa.float64())],
-                                             ["page_id", "host", "path", "rule", "verdict", "block_score"])
-
-    return rows.select(F.col("page_id").cast("long"), "host", "path", "rule", "ruled").mapInArrow(
-        score, "page_id long, host string, path string, rule string, verdict string, block_score double")
+            _, _, tokens, found = [c.to_pylist() for c in b.columns]
+            odds = []
+            for ts, x in zip(tokens, found):
+                more = _values(x, task)
+                odds.append(prior + sum(task.held[t] if t in task.held else more.get(t, task.other) for t in ts))
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(odds, pa.float64())], ["host", "path", "block_score"])
+
+    asking = rows.where("ruled is null")
+    urls = materialise(asking.select("host", "path").distinct().join(hosts, "host").select("host", "path", "words"), "urls")
+    urls = urls.mapInArrow(with_path, "host string, path string, tokens array<string>")
+    held = task.held
+    found = looked_up(urls, ["host", "path"], lambda row: set(row[2]).difference(held), weights)
+    scored = materialise(found.select("host", "path", "tokens", "found")
+                         .mapInArrow(score, "host string, path string, block_score double"), "scored")
+    judged = asking.join(scored, ["host", "path"]).select(
+        "page_id", "host", "path", "rule", F.when(F.col("block_score") > 0, "block").otherwise("allow").alias("verdict"),
+        "block_score")
+    decided = rows.where("ruled is not null").select(
+        "page_id", "host", "path", "rule", F.col("ruled").alias("verdict"), F.lit(None).cast("double").alias("block_score"))
+    return decided.unionByName(judged)

@@ -91,3 +91,18 @@ def test_most_frequent_takes_whole_classes_within_the_bound(spark):
         assert len(rows) == want and len(rows) <= max(size, 0)
         assert sorted((r.n for r in rows), reverse=True) == sorted([1] * 20 + [2] * 5 + [90, 91, 3000], reverse=True)[:want]
     assert url_filter.most_frequent(counts.where("false"), 5) == []
+
+
+def test_counts_beyond_what_tasks_hold_are_looked_up(spark, monkeypatch):
+    rnd = random.Random(5)
+    urls = []
+    for i in range(60):
+        good, bad = (rnd.sample(x, 2) for x in (["garden", "river", "book", "news"], ["casino", "win", "cheap"]))
+        urls += [f"http://{''.join(good)}.com/en/{i}", f"http://{''.join(bad)}.net/es/once{i}",
+                 f"http://{''.join(good + bad)}{'x' * (i % 2)}.org/once{i}/{good[0]}", f"http://{bad[0]}{good[0]}.org/en/"]
+    rows = frame(spark, page_rows(urls + urls[:30] + [None, "http://a1-b.org/é"]))
+    want = sorted(map(tuple, url_filter.judge(rows).collect()))
+    whole = url_filter.most_frequent
+    for held in (3, 0):
+        monkeypatch.setattr(url_filter, "most_frequent", lambda counts, size: whole(counts, held))
+        assert sorted(map(tuple, url_filter.judge(rows).collect())) == want
