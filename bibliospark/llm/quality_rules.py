@@ -103,17 +103,23 @@ def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MI
             .select(counts["host"], "line_hash", "n_docs"))
 
 
-def depleted(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE,
-             max_removed: float = MAX_REMOVED) -> DataFrame:
-    """(doc_id, host, text_hash) of documents that lose more than ``max_removed``
-    of their characters with the boilerplate lines; a row each."""
+def _hits(docs: DataFrame, min_docs: int, min_share: float, *more: Column) -> DataFrame:
+    """(doc_id, host, text_hash, lost) of documents with boilerplate: its
+    characters, and ``more`` aggregates of its lines."""
     frequent = materialise(boilerplate(docs, min_docs, min_share), "boilerplate")
     lines = lines_of(docs)
     hit = lines.join(frequent, same(lines, frequent, "host", "line_hash"), "left_semi")
     # a repeated row repeats its lines: count each place once
     lost = (hit.distinct().groupBy("doc_id", "host", "text_hash")
-            .agg(F.sum("chars").alias("lost")))
-    lost = materialise(lost, "lost-chars")
+            .agg(F.sum("chars").alias("lost"), *more))
+    return materialise(lost, "lost-chars")
+
+
+def depleted(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE,
+             max_removed: float = MAX_REMOVED) -> DataFrame:
+    """(doc_id, host, text_hash) of documents that lose more than ``max_removed``
+    of their characters with the boilerplate lines; a row each."""
+    lost = _hits(docs, min_docs, min_share)
     keyed = _keyed(docs).select("doc_id", "host", "text_hash", F.length(_no_space(F.col("text"))).alias("chars"))
     return (keyed.join(lost, same(keyed, lost, "doc_id", "host", "text_hash"))
             .where(F.col("lost") > F.col("chars") * max_removed)
@@ -148,6 +154,31 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
                        & (F.xxhash64(whole_text(docs["text"])) == gone["text_hash"]), "left_anti")
 
 
+def strip_good(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE,
+               max_removed: float = MAX_REMOVED) -> DataFrame:
+    """The rows of ``keep_good``, all columns, without their boilerplate lines;
+    n_chars, if there, follows the text."""
+    hits = _hits(docs, min_docs, min_share, F.collect_list("place").alias("places"))
+    hits = hits.select(F.col("doc_id").alias("\0doc"), F.col("host").alias("\0host"), F.col("text_hash").alias("\0hash"),
+                       F.col("lost").alias("\0lost"), F.col("places").alias("\0places"))
+    text = whole_text(docs["text"])
+    passed = docs.where(~let(_figures(text), _base_failed))
+    passed = passed.join(hits, docs["doc_id"].eqNullSafe(hits["\0doc"]) & docs["source"].eqNullSafe(hits["\0host"])
+                         & (F.xxhash64(text) == hits["\0hash"]), "left")
+    whole = F.col("\0lost").isNull()
+    passed = passed.where(whole | (F.col("\0lost") <= F.length(_no_space(text)) * max_removed))
+
+    def rest(lines):
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("\0places"))
+        return F.array_join(F.transform(left, lambda k: F.get(lines, k)), "\n")
+
+    out = passed.withColumn("text", F.when(whole, docs["text"]).otherwise(let(F.split(text, "\n"), rest)))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars"))
+                             .otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source AS host, coalesce(text, '') AS text FROM documents

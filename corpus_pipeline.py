@@ -14,8 +14,9 @@ from bibliospark.sources.tables import table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality_rules.keep_good(docs)
+    """Documents that the quality rules reject go, and the boilerplate lines of
+    the others."""
+    return quality_rules.strip_good(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -94,3 +94,18 @@ def test_shuffled_join_gives_the_same(spark, docs_of, monkeypatch):
     a = sorted(map(tuple, winnowing.judge(docs, bench).collect()))
     monkeypatch.setattr(winnowing, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, winnowing.judge(docs, bench).collect())) == a
+
+
+def test_quality_stage_drops_boilerplate_lines(spark, docs_of):
+    import corpus_pipeline
+    rows = [(i, f"Home  About\n{clean(i)}\n\nhome about\n  {clean(i + 1000)}", "a") for i in range(12)]
+    rows += [(100, "Home  About\n" + clean(100), "b"), (101, clean(101), None), (102, rows[0][1], "a"), (102, rows[0][1], "a")]
+    rows += [(200 + i, " ".join(f"menu{k}" for k in range(60)) + f"\nown words of {i}", "a") for i in range(10)]
+    docs = docs_of(rows)
+    out = corpus_pipeline.quality(spark, docs, None)
+    assert out.columns == docs.columns
+    got = sorted((r.doc_id, r.text) for r in out.collect())
+    want = [(d, t if s != "a" else t.replace("Home  About\n", "").replace("home about\n", "")) for d, t, s in rows if d < 200]
+    assert got == sorted(want)
+    assert all(r.n_chars in (None, len(r.text)) for r in out.collect())
+    assert sorted(r.doc_id for r in quality_rules.keep_good(docs).collect()) == [d for d, _ in got]
