@@ -1,7 +1,8 @@
 """Operator 6, line dedup: segment-partition edit join.
 
-Lines of at least ``MIN_CHARS`` code points are linked when their edit
-distance is at most t. A line of length l is cut into t + 1 segments; a line
+Every line with a word has a class. Lines of at least ``MIN_CHARS`` code points
+are linked when their edit distance is at most t, shorter ones when they are
+equal (two edits make another heading or number of them). A line of length l is cut into t + 1 segments; a line
 within t edits, of length l to l + t, holds one of them unchanged near its
 place. So every line posts its own segments (the index) and, for each shorter
 length, the few substrings that can be such a segment (the probes; places
@@ -17,8 +18,8 @@ is cut into blocks, and each pair of blocks is a task group of its own: no
 group is unbounded and pairs are not rows (a block yields its lines' local
 class roots and link counts). Texts join only for the lines of shared keys.
 
-Defined cases: null text is one empty line; short lines are never removed; the
-order of documents is that of doc_id, nulls last; rows with one doc_id count
+Defined cases: null text is one empty line; lines of white space alone have no
+row; ``strip_lines`` leaves lines under ``MIN_CHARS`` where they are; the order of documents is that of doc_id, nulls last; rows with one doc_id count
 as one document, so equal rows keep the same lines. Equal lines are known by
 64-bit hash and length. Other columns are left as they are.
 """
@@ -135,10 +136,12 @@ def _key(seed: int, part: str) -> int:
 
 
 def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, text_hash, line_no, line_id, chars, line) of every line long enough."""
+    """(doc_id, text_hash, line_no, line_id, chars, line) of every line long enough
+    (0: of every line with a word)."""
     return (docs.select("doc_id", F.xxhash64(whole_text("text")).alias("text_hash"),
                         F.posexplode(F.split(whole_text("text"), "\n")).alias("line_no", "line"))
             .withColumn("chars", F.length("line")).where(F.col("chars") >= min_chars)
+            .where(F.lit(min_chars > 0) | (F.translate("line", WHITE_SPACE, "") != ""))
             .select("doc_id", "text_hash", "line_no", F.xxhash64("line", "chars").alias("line_id"), "chars", "line"))
 
 
@@ -283,9 +286,11 @@ def links(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS,
                        .mapInArrow(verify, "line_id long, root long, n_links long"), "line-links")
 
 
-def classes(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, block: int = BLOCK) -> DataFrame:
-    """One row per line long enough: doc_id, text_hash, line_no, chars,
-    class_doc_id and class_line_no (the class's first line), n_links (different
+def classes(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, block: int = BLOCK,
+            shortest: int | None = None) -> DataFrame:
+    """One row per line long enough (of at least ``shortest`` characters, if
+    given, those under ``min_chars`` classed by equality alone; 0: every line with
+    a word): doc_id, text_hash, line_no, chars, class_doc_id and class_line_no (the class's first line), n_links (different
     lines within ``edits``), removed (not the first of its class)."""
     found = links(docs, edits, min_chars, block)
     stars = components(found.select(F.col("line_id").alias("a"), F.col("root").alias("b")))
@@ -293,7 +298,7 @@ def classes(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS,
     linked = materialise(counted.join(stars, counted["line_id"] == stars["node"], "left")
                          .select("line_id", F.coalesce("root", "line_id").alias("class"), "n_links"), "linked")
     small = linked.count() <= BROADCAST_ROWS
-    lines = lines_of(docs, min_chars).drop("line")
+    lines = lines_of(docs, min_chars if shortest is None else shortest).drop("line")
     lines = (lines.join(F.broadcast(linked) if small else linked, "line_id", "left")
              .select("doc_id", "text_hash", "line_no", "chars", F.coalesce("class", "line_id").alias("class"),
                      F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
@@ -341,4 +346,4 @@ def strip_lines(docs: DataFrame, min_left: float = MIN_LEFT, **options) -> DataF
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return classes(docs).drop("text_hash")
+    return classes(docs, shortest=0).drop("text_hash")

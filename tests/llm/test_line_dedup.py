@@ -95,3 +95,13 @@ def test_strip_lines_and_edge_rows(docs_of):
                     8: ["same\n" + "r" * 60] * 2}
     assert line_dedup.strip_lines(docs.where("false")).count() == 0
     assert line_dedup.query(docs.where("false")).count() == 0
+
+
+def test_short_lines_have_rows_and_classes_of_equal_ones(docs_of):
+    long = "a line of well over forty characters, with one edit in another document"
+    docs = [(1, f"Home\n\n{long}\nPage 1\n \t"), (2, f"Home\n{long}!\nPage 2\n目录"), (3, "x\nHome\nHome"), (None, "目录"), (4, None)]
+    got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.n_links, r.removed)
+           for r in line_dedup.query(docs_of(docs)).collect()}
+    assert got == {(1, 0): (1, 0, 0, False), (1, 2): (1, 2, 1, False), (1, 3): (1, 3, 0, False),
+                   (2, 0): (1, 0, 0, True), (2, 1): (1, 2, 1, True), (2, 2): (2, 2, 0, False), (2, 3): (2, 3, 0, False),
+                   (3, 0): (3, 0, 0, False), (3, 1): (1, 0, 0, True), (3, 2): (1, 0, 0, True), (None, 0): (2, 3, 0, True)}
