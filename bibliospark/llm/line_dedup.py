@@ -32,12 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE_SPACE, Dealer, buckets_for, components, let, materialise, small_batches, whole_text
+from .common import WHITE_SPACE, Dealer, buckets_for, components, let, materialise, small_batches, space_words, whole_text
+from .quality_rules import MIN_WORDS
 
 MAX_EDITS = 2
 MIN_CHARS = 40
 #: A document that loses lines goes when it keeps less than this share of its
-#: characters: what is left of a copy is a fragment.
+#: characters and fewer words than the quality rules ask: what is left of a copy
+#: is a fragment.
 MIN_LEFT = 0.2
 #: Lines of one key compared in one task group.
 BLOCK = 1024
@@ -320,8 +322,9 @@ def classes(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS,
 
 def strip_lines(docs: DataFrame, min_left: float = MIN_LEFT, **options) -> DataFrame:
     """The rows of ``docs``, all columns, without the removed lines; n_chars,
-    if there, follows the text. Documents that lost lines and keep under
-    ``min_left`` of their characters (white space aside), or none, go."""
+    if there, follows the text. Documents that lost lines and keep no words, or
+    fewer than ``MIN_WORDS`` and under ``min_left`` of their characters (white
+    space aside), go."""
     gone = (classes(docs, **options).where("removed").select("doc_id", "text_hash", "line_no").distinct()
             .groupBy("doc_id", "text_hash").agg(F.collect_list("line_no").alias("gone")))
     gone = materialise(gone.select(F.col("doc_id").alias("\0doc"), F.col("text_hash").alias("\0hash"),
@@ -338,7 +341,8 @@ def strip_lines(docs: DataFrame, min_left: float = MIN_LEFT, **options) -> DataF
     before = F.length(F.translate(whole_text(docs["text"]), WHITE_SPACE, ""))
     left = F.length(F.translate(F.col("text"), WHITE_SPACE, ""))
     out = (joined.withColumn("\0before", before).withColumn("text", text)
-           .where(F.col("\0gone").isNull() | ((left > 0) & (left >= F.col("\0before") * min_left))))
+           .where(F.col("\0gone").isNull() | ((left > 0) & ((left >= F.col("\0before") * min_left)
+                                                        | (F.size(space_words(F.col("text"))) >= MIN_WORDS)))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("\0gone").isNull(), F.col("n_chars"))
                              .otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))

@@ -105,3 +105,11 @@ def test_short_lines_have_rows_and_classes_of_equal_ones(docs_of):
     assert got == {(1, 0): (1, 0, 0, False), (1, 2): (1, 2, 1, False), (1, 3): (1, 3, 0, False),
                    (2, 0): (1, 0, 0, True), (2, 1): (1, 2, 1, True), (2, 2): (2, 2, 0, False), (2, 3): (2, 3, 0, False),
                    (3, 0): (3, 0, 0, False), (3, 1): (1, 0, 0, True), (3, 2): (1, 0, 0, True), (None, 0): (2, 3, 0, True)}
+
+
+def test_a_long_remainder_stays_whatever_its_share(docs_of):
+    shared = "\n".join(f"shared passage that stands in both documents {(i + 1) * 123456791} " + chr(97 + i % 26) * 9 + chr(97 + i // 26) * 30 for i in range(60))
+    own = " ".join(f"own{i}" for i in range(50))
+    docs = docs_of([(1, shared), (2, shared + "\n" + own), (3, shared + "\n" + own[:-6])])
+    got = {r.doc_id: r.text for r in line_dedup.strip_lines(docs).collect()}
+    assert got == {1: got[1], 2: own}
