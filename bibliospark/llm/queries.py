@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import importance, license_scan, line_dedup, packing, quality_rules, repeats, simhash, url_filter, warc, winnowing
+from . import (importance, license_scan, line_dedup, merkle, packing, quality_rules, repeats, simhash, url_filter, warc,
+               winnowing)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,14 +50,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_quality_rules, op2_url_filter, op3_repeats, op4_simhash_dedup, op5_warc, op6_line_dedup,
-        op7_importance_resampling, op8_decontamination, op9_packing, op10_license_scan)}
+        op7_importance_resampling, op8_decontamination, op9_packing, op10_license_scan, op11_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the operators that SQL can express; tests/llm compares the
     others with brute force."""
     return {"op1_quality_rules": quality_rules.SQL, "op5_warc": warc.SQL, "op8_decontamination": winnowing.SQL,
-            "op10_license_scan": license_scan.SQL}
+            "op10_license_scan": license_scan.SQL, "op11_merkle_manifest": merkle.SQL}
