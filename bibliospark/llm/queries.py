@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import (importance, license_scan, line_dedup, merkle, packing, quality_rules, repeats, simhash, url_filter, warc,
-               whitening, winnowing)
+from . import (importance, license_scan, line_dedup, merkle, minhash, packing, quality_rules, repeats, simhash,
+               url_filter, warc, whitening, winnowing)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,11 +58,15 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.query(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_quality_rules, op2_url_filter, op3_repeats, op4_simhash_dedup, op5_warc, op6_line_dedup,
         op7_importance_resampling, op8_decontamination, op9_packing, op10_license_scan, op11_merkle_manifest,
-        op12_embedding_whitening)}
+        op12_embedding_whitening, op13_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
