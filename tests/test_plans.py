@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from bibliospark.plans import catalog
-from conftest import SF001
+from testdata_paths import SF001
 
 # queries whose builders run jobs while planning (checkpoints): checked separately
 HEAVY = {"star_load_roundtrip", "json_sink_roundtrip", "corpus_load", "landed_documents_roundtrip", "message_log_sinks"}
