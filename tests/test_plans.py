@@ -7,7 +7,8 @@ from bibliospark.plans import catalog
 from testdata_paths import SF001
 
 # queries whose builders run jobs while planning (checkpoints): checked separately
-HEAVY = {"star_load_roundtrip", "json_sink_roundtrip", "corpus_load", "landed_documents_roundtrip", "message_log_sinks"}
+HEAVY = {"star_load_roundtrip", "json_sink_roundtrip", "corpus_load", "landed_documents_roundtrip", "message_log_sinks",
+         "incremental_star_load"}
 
 
 def plan_of(df):
