@@ -148,7 +148,7 @@ def _dedup_input(spark, base):
                     norm_title("text").alias("title"))
 
 
-@register("dedup_id_or_title", f"""
+_SCAN_SQL = f"""
 WITH RECURSIVE src AS (
   SELECT row_number() OVER (ORDER BY seq) AS rn, seq, k1, md5(k2t) AS k2 FROM (
     SELECT doc_id AS seq, coalesce(CAST(n_chars AS VARCHAR), '') AS k1,
@@ -168,12 +168,30 @@ walk(rn, seen1, seen2, kept) AS (
               ELSE list_append(w.kept, s.seq) END
   FROM walk w JOIN src s ON s.rn = w.rn + 1
 )
-SELECT unnest(kept) AS seq FROM walk WHERE rn = (SELECT max(rn) FROM src)""")
+SELECT unnest(kept) AS seq FROM walk WHERE rn = (SELECT max(rn) FROM src)"""
+
+
+@register("dedup_id_or_title", _SCAN_SQL)
 def dedup_id_or_title(spark, base):
     from ..operators.dedup import greedy_dedup
     return greedy_dedup(_dedup_input(spark, base)).select("seq")
 
 
+@register("dedup_landings", _SCAN_SQL)
+def dedup_landings(spark, base):
+    # A8 in landings: the documents land in three parts and are judged against the
+    # keys kept before; the result is that of one scan over all
+    from ..operators.seen_keys import SeenKeys
+    from ..session import scratch_path
+    rows = _dedup_input(spark, base).checkpoint()
+    ends = rows.agg(F.min("seq").alias("a"), F.max("seq").alias("b")).first()  # scalars
+    low, high = ends["a"] or 0, (ends["b"] or 0) + 1
+    cuts = [low + (high - low) * k // 3 for k in range(4)]
+    store = SeenKeys.create(spark, scratch_path(spark, "seen-keys"))
+    kept = [store.land(rows.where((F.col("seq") >= x) & (F.col("seq") < y))).select("seq") for x, y in zip(cuts, cuts[1:])]
+    return reduce(lambda x, y: x.unionByName(y), kept)
+
+
 # ------------------------------------------------------- normalisation ----
 
 _FIRSTS = f"""{_LINES.strip()},
@@ -348,7 +366,7 @@ def landed_documents_roundtrip(spark, base):
 # documents repeat an earlier one's identifier (finished orders) or its title in
 # other case and blanks (open orders), and two kinds have neither.
 def _landed_with_repeats(spark, base):
-    docs = documents_from_tables(spark, base, extra=("o_orderstatus", "o_orderpriority"))
+    docs = documents_from_tables(spark, base, extra=("o_orderstatus", "o_orderpriority")).checkpoint()
     last = docs.agg(F.max("seq")).first()[0] or 0  # a scalar
     core = lambda ident, title: F.concat(
         F.lit('{"abstracts-retrieval-response":{"coredata":{"dc:identifier":"'), ident, F.lit('","dc:title":"'), title,
