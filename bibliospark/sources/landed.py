@@ -8,6 +8,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,10 +34,10 @@ def read_documents(spark: SparkSession, path: str, fmt: str = "jsonl") -> DataFr
     into a row, so no value holds the file and no limit on a value's size
     applies to it; one file is still one task. A repeated key of an object
     keeps its last value. An array with elements that are not objects is
-    parsed again element by element, so that each of those is a record of its
-    own (cleaning rejects it). A file that is not a JSON array to its end, or
-    is too large for that second parse, fails the read: nothing is dropped in
-    silence."""
+    parsed again, whatever its size, each element into a value of its own, so
+    that those are records of their own (cleaning rejects them). A file that is
+    not a JSON array to its end fails the read: nothing but a lone comma behind it
+    is dropped in silence."""
     if fmt == "jsonl":
         df = spark.read.text(path).select(F.input_file_name().alias("_file"), F.col("value"),
                                           F.monotonically_increasing_id().alias("_pos"))
@@ -46,15 +49,91 @@ def read_documents(spark: SparkSession, path: str, fmt: str = "jsonl") -> DataFr
     rows = (spark.read.schema(f"`{RESPONSE}` variant, _rest string").option("multiLine", True)
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_rest").json(path))
     rows = rows.select(F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_pos"),
-                       F.col(RESPONSE).alias("_doc"), "_rest").checkpoint()  # parsed once
+                       F.col(RESPONSE).alias("_doc"), F.col("_rest").isNotNull().alias("_mixed")).checkpoint()  # parsed once
     value = F.concat(F.lit('{"' + RESPONSE + '":'), F.coalesce(F.to_json("_doc"), F.lit("null")), F.lit("}"))
-    good = rows.where(F.col("_rest").isNull()).select("_file", "_pos", F.lit(0).alias("_item"), value.alias("value"))
-    items = F.try_variant_get(F.try_parse_json("_rest"), "$", "array<variant>")
-    failed = F.raise_error(F.concat(F.lit("not a readable JSON array: "), F.col("_file"))).cast("array<variant>")
-    mixed = (rows.where(F.col("_rest").isNotNull())
-             .select("_file", "_pos", F.posexplode(F.coalesce(items, failed)).alias("_item", "_v"))
-             .select("_file", "_pos", "_item", F.coalesce(F.to_json("_v"), F.lit("null")).alias("value")))
-    return sequence_numbers(good.unionByName(mixed), ["_file", "_pos", "_item"], out="seq").select("seq", "value")
+    good = rows.where(~F.col("_mixed")).select("_file", "_pos", F.lit(0).alias("_item"), value.alias("value"))
+    again = [r["_file"] for r in rows.where("_mixed").select("_file").collect()]  # names of files alone
+    if again:
+        # pieces between commas, so that no value holds a file; put together in file order
+        pieces = (spark.read.text(path, lineSep=",").where(F.col("_metadata.file_path").isin(again))
+                  .select(F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_pos"), "value"))
+        items = (pieces.repartition("_file").sortWithinPartitions("_file", "_pos")
+                 .mapInArrow(_elements, "_file string, _pos long, _item int, value string"))
+        failed = F.raise_error(F.concat(F.lit("not a readable JSON array: "), F.col("_file"))).cast("string")
+        good = good.unionByName(items.withColumn(
+            "value", F.when(F.try_parse_json("value").isNotNull(), F.col("value")).otherwise(failed)))
+    return sequence_numbers(good, ["_file", "_pos", "_item"], out="seq").select("seq", "value")
+
+
+_MARK = re.compile(r'["\\\[\]{}]')
+
+
+def _elements(batches):
+    """(_file, _pos, _item, value): the elements of the JSON array that the pieces
+    (_file, _pos, value) between the commas of each file make up; a null value where
+    the array does not end or something follows it."""
+    file, out = None, []
+
+    def flush():
+        rows, out[:] = list(out), []
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows]), pa.array([0] * len(rows), pa.int64()),
+             pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())],
+            ["_file", "_pos", "_item", "value"])
+
+    depth = item = 0
+    quoted = ended = False
+    held: list[str] = []
+    for b in batches:
+        for name, piece in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+            if name != file:
+                if file is not None and not ended:
+                    out.append((file, item, None))
+                file, depth, item, quoted, ended, held = name, 0, 0, False, False, []
+            elif depth == 1 and not quoted:
+                out.append((file, item, "".join(held)))
+                item, held = item + 1, []
+            elif ended:
+                piece = "," + piece
+            else:
+                held.append(",")
+            start = skip = 0
+            for mark in _MARK.finditer(piece):
+                at, c = mark.start(), mark.group()
+                if at < skip or ended:
+                    continue
+                if quoted:
+                    if c == "\\":
+                        skip = at + 2
+                    elif c == '"':
+                        quoted = False
+                elif c == '"':
+                    quoted = True
+                elif c in "[{":
+                    depth += 1
+                    if depth == 1:  # the array itself
+                        if piece[:at].strip() or c == "{":
+                            out.append((file, item, None))
+                        start = at + 1
+                elif c in "]}":
+                    depth -= 1
+                    if depth == 0:
+                        held.append(piece[start:at])
+                        last = "".join(held)
+                        if last.strip() or item:  # an empty array has none
+                            out.append((file, item, last))
+                        ended, start, held = True, at + 1, []
+            if ended:
+                if piece[start:].strip():
+                    out.append((file, item, None))
+            else:
+                held.append(piece[start:])
+        if out:
+            yield flush()
+    if file is not None and not ended:
+        out.append((file, item, None))
+    if out:
+        yield flush()
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -47,6 +47,25 @@ def test_elements_that_are_no_objects_are_rejected_one_by_one(spark, tmp_path):
     assert [r.scopus_id for r in X.clean(rows).orderBy("seq").collect()] == ["1", "2"]
 
 
+def test_a_large_mixed_array_keeps_its_good_elements(spark, tmp_path):
+    # 140 MB with four elements that are no objects: more than one VARIANT value may hold
+    filler = "x" * 100_000
+    items = [document(k, **{"dc:description": filler}) for k in range(1400)]
+    items[3:3] = [5, '{"a": [1, "}"], \\\\" ,]']
+    with open(tmp_path / "big.json", "w") as f:
+        f.write("[" + ",\n".join(map(json.dumps, items + [None, [1]])) + "]\n")
+    rows = landed.read_documents(spark, str(tmp_path / "big.json"), "array")
+    assert rows.count() == 1404
+    assert [r.scopus_id for r in X.clean(rows).select("seq", "scopus_id").orderBy("seq").collect()] == [
+        str(k) for k in range(1400)]
+
+
+@pytest.mark.parametrize("text", ['[1, 2', '[{"a": 1}, 5] x', '[5, {"a": 1}', '[5, "x]', '[1,, 2]', '[1, 2,]', '[1] [2]'])
+def test_no_array_to_its_end_raises(spark, tmp_path, text):
+    with pytest.raises(Exception, match="not a readable JSON array"):
+        read(spark, write(tmp_path / "bad.json", text))
+
+
 def test_repeated_keys_keep_the_last_value(spark, tmp_path):
     one = json.dumps(document(1)).replace('"dc:title": "T1"', '"dc:title": "first", "dc:title": "last"')
     for fmt, text in (("array", f"[{one}]"), ("jsonl", one)):
