@@ -489,15 +489,37 @@ def _entries(spark, base):
     return pages_until_error(search_pages_from_tables(spark, base))
 
 
-@register("landed_pages_until_error", f"""
+_ENTRIES_SQL = f"""
 WITH {_PAGES_SQL.strip()}
-SELECT CAST(start AS BIGINT) AS start, pos, scopus_id FROM ids""")
+SELECT CAST(start AS BIGINT) AS start, pos, scopus_id FROM ids"""
+
+
+@register("landed_pages_until_error", _ENTRIES_SQL)
 def landed_pages_until_error(spark, base):
     from ..sources.landed import entry_id
     e = _entries(spark, base)
     return e.select("start", F.col("pos").cast("long").alias("pos"), entry_id(F.col("entry")).alias("scopus_id"))
 
 
+@register("harvest_stream", _ENTRIES_SQL)
+def harvest_stream(spark, base):
+    # S1/L5/U1 as a resumable stream: the pages land in two parts, each part is read by
+    # a run of its own that goes on behind the last page of the one before
+    from ..functions.sequence import sequence_numbers
+    from ..session import scratch_path
+    from ..sources import harvest
+    from ..sources.landed import entry_id
+    pages = sequence_numbers(search_pages_from_tables(spark, base), ["start"], out="page", start=0)
+    half = pages.count() // 2
+    folder, out, checkpoint = (scratch_path(spark, f"harvest-{n}") for n in ("pages", "out", "offsets"))
+    for part in (F.col("page") < half, F.col("page") >= half):
+        harvest.land_pages(pages.where(part), folder)
+        (harvest.stream_harvest(spark, folder).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+    e = harvest.entries_of(spark.read.schema(harvest.SCHEMA).parquet(out))
+    return e.select("start", F.col("pos").cast("long").alias("pos"), entry_id(F.col("entry")).alias("scopus_id"))
+
+
 @register("enrich_inner", f"""
 WITH {_PAGES_SQL.strip()}
 SELECT CAST(i.start AS BIGINT) AS start, i.pos, i.scopus_id, 'Article ' || i.scopus_id AS titre FROM ids i
