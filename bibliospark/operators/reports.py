@@ -64,8 +64,16 @@ def top_domains(articles: DataFrame, k: int = 10, collation: str | None = None)
 
     Blank follows PAD SPACE comparison: a value of spaces only equals ''."""
     d = F.col("domaine_recherche")
-    counts = (articles.select(d).where(d.isNotNull() & (F.rtrim(d) != ""))
-              .groupBy(d).agg(F.count(F.lit(1)).alias("n")))
+    counts = articles.select(d).where(has_domain(d)).groupBy(d).agg(F.count(F.lit(1)).alias("n"))
+    return ranked_domains(counts, k, collation)
+
+
+def has_domain(d: Column) -> Column:
+    return d.isNotNull() & (F.rtrim(d) != "")
+
+
+def ranked_domains(counts: DataFrame, k: int = 10, collation: str | None = None) -> DataFrame:
+    """A2 from counts (domaine_recherche, n)."""
     return _top(_collated_count(counts, "domaine_recherche", "domain", collation), "domain", k)
 
 
@@ -74,6 +82,12 @@ def top_authors(authors: DataFrame, article_author: DataFrame, k: int = 10,
     """A3 + J3 + L1: top-k authors by bridge rows. Grouped by name as in the
     reference (homonyms merge); ``by='id'`` keeps them apart."""
     per_author = article_author.groupBy("auteur_id").agg(F.count(F.lit(1)).alias("n"))
+    return ranked_authors(per_author, authors, k, by, collation)
+
+
+def ranked_authors(per_author: DataFrame, authors: DataFrame, k: int = 10, by: str = "name",
+                   collation: str | None = None) -> DataFrame:
+    """A3 from counts (auteur_id, n)."""
     joined = per_author.join(authors.select("id", "nom_complet"),
                              per_author.auteur_id == F.col("id"))
     if by == "id":
@@ -93,6 +107,12 @@ def top_countries(affiliations: DataFrame, author_affiliation: DataFrame, k: int
     if distinct:
         bridge = bridge.dropDuplicates(["auteur_id", "affiliation_id"])
     per_aff = bridge.groupBy("affiliation_id").agg(F.count(F.lit(1)).alias("n"))
+    return ranked_countries(per_aff, affiliations, k, collation)
+
+
+def ranked_countries(per_aff: DataFrame, affiliations: DataFrame, k: int = 10,
+                     collation: str | None = None) -> DataFrame:
+    """A4 from counts (affiliation_id, n)."""
     joined = per_aff.join(affiliations.select("id", "pays"),
                           per_aff.affiliation_id == F.col("id"))
     return _top(_collated_count(joined, "pays", "country", collation), "country", k)

@@ -9,7 +9,8 @@ from testdata_paths import SF001
 # queries whose builders run jobs while planning (checkpoints): checked separately
 HEAVY = {"star_load_roundtrip", "json_sink_roundtrip", "corpus_load", "landed_documents_roundtrip", "message_log_sinks",
          "incremental_star_load", "dedup_landings", "message_default_time",
-         "message_stream_numbering", "harvest_stream"}
+         "message_stream_numbering", "harvest_stream",
+         "reports_by_deltas", "discussion_search_indexed"}
 
 
 def plan_of(df):
