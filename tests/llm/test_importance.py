@@ -64,3 +64,49 @@ def test_target_sample_is_bounded(spark, docs_of, monkeypatch):
     assert 20 < len(seen) < 100
     monkeypatch.setattr(importance, "TARGETS", 400)
     assert np.allclose(importance.models(docs, labels), 0)
+
+
+def test_whole_table_against_counts_in_dictionaries(spark):
+    import math
+    import zlib
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from bibliospark.llm.queries import op7_importance_resampling
+    from bibliospark.sources.tables import table
+
+    base, buckets = "/root/testdata/sf0.001", importance.BUCKETS
+    docs = table(spark, base, "documents")
+    good = {r.doc_id for r in table(spark, base, "labels").collect() if r.quality == 1 and not r.toxic}
+    rows = docs.select("doc_id", "text", F.xxhash64(F.lit("gumbel"), "doc_id", F.coalesce("text", F.lit(""))).alias("h")).collect()
+
+    def grams(text):
+        words = [zlib.crc32(w) for w in (text or "").encode().lower().split()]
+        pairs = [((a * 0x9E3779B1 + b) * 0xC2B2AE3D27D4EB4F % 2**64) >> 32 for a, b in zip(words, words[1:])]
+        return [x % buckets for x in words + pairs]
+
+    raw, target = Counter(), Counter()
+    for r in rows:
+        raw.update(grams(r.text))
+        if r.doc_id in good:
+            target.update(grams(r.text))
+    n_raw, n_target = sum(raw.values()) + buckets, sum(target.values()) + buckets
+    want = {}
+    for r in rows:
+        g = grams(r.text)
+        weight = sum(math.log((target[x] + 1) / n_target) - math.log((raw[x] + 1) / n_raw) for x in g) if g else None
+        u = ((r.h % 2**64 >> 12) + 0.5) / 2**52
+        want[r.doc_id] = (len(g), weight, None if weight is None else weight - math.log(-math.log(u)))
+    keys = sorted((k for _, _, k in want.values() if k is not None), reverse=True)
+    drawn = round(len(keys) * importance.SHARE)
+    got = op7_importance_resampling(spark, base).collect()
+    assert len(got) == len(rows) == len(want)
+    for r in got:
+        n, weight, key = want[r.doc_id]
+        assert r.n_ngrams == n
+        if key is None:
+            assert r.log_ratio is None and not r.selected
+        else:
+            assert r.log_ratio == pytest.approx(weight, rel=1e-9, abs=1e-9) and r.key == pytest.approx(key, rel=1e-9, abs=1e-9)
+            assert r.selected == (key >= keys[drawn - 1] - 1e-9)

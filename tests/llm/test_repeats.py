@@ -71,3 +71,23 @@ def test_long_text_hashes_in_steps(monkeypatch):
     monkeypatch.setattr(repeats, "_STEP", 1000)
     assert (repeats.gram_hashes(data) == whole).all()
     assert len(set(whole.tolist())) == len({bytes(data[i:i + 48]) for i in range(len(data) - 47)})
+
+
+def test_planted_passages_are_removed_and_clean_documents_left_alone(docs_of):
+    rnd = random.Random(31)
+    long = [sentence(rnd, 140) for _ in range(8)]  # each over 50 words and over 400 bytes
+    short = [" ".join(rnd.choice("abcdefgh") * 2 for _ in range(52)) for _ in range(4)]  # over 50 words, under 400 bytes
+    assert all(len(p.encode()) >= 450 for p in long) and all(len(p) < 400 for p in short)
+    rows, planted_ids = [], set()
+    for d in range(120):
+        parts = [sentence(rnd, rnd.randrange(20, 200)), "", sentence(rnd, rnd.randrange(20, 200))]
+        if d < 50:
+            parts[1] = long[d % 8]
+            planted_ids.add(d)
+        elif d < 70:
+            parts[1] = short[d % 4]
+        rows.append((d, " ".join(parts)))
+    got = {r.doc_id: r for r in repeats.query(docs_of(rows)).collect()}
+    # read by n_removed: every passage of 400 bytes or more, and nothing else
+    assert {d for d, r in got.items() if r.n_removed} == planted_ids
+    assert all(got[d].n_removed >= len(long[d % 8].encode()) for d in planted_ids)
