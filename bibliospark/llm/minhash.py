@@ -42,7 +42,7 @@ PERCENT = 85
 BANDS, ROWS = 32, 6
 SEED = 42
 #: Members compared with one copy of their hub's set.
-HUB_BLOCK = 256
+HUB_BLOCK = 32
 #: Bounds of a block of the exhaustive comparison: sets, and shingles in all.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 20
 #: Shingles hashed at a time, however long the text.
