@@ -46,13 +46,13 @@ def read_documents(spark: SparkSession, path: str, fmt: str = "jsonl") -> DataFr
         raise ValueError(fmt)
     ensure_checkpoint_dir(spark)
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    rows = (spark.read.schema(f"`{RESPONSE}` variant, _rest string").option("multiLine", True)
-            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_rest").json(path))
+    # a file that is no array of objects gives a row without a document; its text is never one value
+    rows = spark.read.schema(f"`{RESPONSE}` variant").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     rows = rows.select(F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_pos"),
-                       F.col(RESPONSE).alias("_doc"), F.col("_rest").isNotNull().alias("_mixed")).checkpoint()  # parsed once
+                       F.col(RESPONSE).alias("_doc")).checkpoint()  # parsed once
+    again = [r["_file"] for r in rows.where(F.col("_doc").isNull()).select("_file").distinct().collect()]  # names alone
     value = F.concat(F.lit('{"' + RESPONSE + '":'), F.coalesce(F.to_json("_doc"), F.lit("null")), F.lit("}"))
-    good = rows.where(~F.col("_mixed")).select("_file", "_pos", F.lit(0).alias("_item"), value.alias("value"))
-    again = [r["_file"] for r in rows.where("_mixed").select("_file").collect()]  # names of files alone
+    good = rows.where(~F.col("_file").isin(again)).select("_file", "_pos", F.lit(0).alias("_item"), value.alias("value"))
     if again:
         # pieces between commas, so that no value holds a file; put together in file order
         pieces = (spark.read.text(path, lineSep=",").where(F.col("_metadata.file_path").isin(again))
