@@ -2,21 +2,20 @@
 
 Documents become token ids with an end id, once, into a table. Document
 frequencies of all token ids are counted over the whole corpus (at most one
-row per vocabulary entry). If the counted tokens need more than one shard, every
-document asks the index of every part of the corpus for its best neighbour, and
-documents linked so are dealt to one shard (``deal``). A shard holds an
-inverted index of its documents with BM25 weights. Packing takes the next unused
+row per vocabulary entry). Every document finds a partner in the whole corpus by
+the pairs of its rarest terms, a join by pair (``nearest``), and documents of one
+partner are dealt to one shard (``deal``). A shard holds an inverted index of
+its documents with BM25 weights. Packing takes the next unused
 document as the seed, asks the index for its unused neighbours by the seed's
 rarest terms (by further ones while none is found), and fills the seed's window
 with them, best first. The last one is cut at the window's end; what is left of
 it seeds the next window. So every window of a shard but its last is full.
 
-Plan: one pass tokenises; one pass over the ids counts; one pass for each
-``ASKED`` documents indexes the ids and answers them; one shuffle of the ids by
-shard packs. The answers cost the square of the documents. The driver holds the
-vocabulary's counts and the terms of ``ASKED`` documents, a task one shard
-(``SHARD_TOKENS`` on average, and never less than one document). Linked groups
-larger than a shard, such as many copies, are dealt over several shards.
+Plan, the same at any size: one pass tokenises; one pass over the ids counts;
+one emits ten narrow rows a document, which are grouped, joined and summed; one
+shuffle of the ids by shard packs. The driver holds the vocabulary's counts, a
+task one shard (``SHARD_TOKENS`` on average, and never less than one document).
+Groups larger than a shard, such as many copies, are dealt over several shards.
 
 Defined cases: null text is empty and becomes the end id alone; equal rows are
 packed once each; a null doc_id is kept; texts of special tokens are ordinary
@@ -35,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, small_batches, whole_text
+from .common import materialise, small_batches, whole_text
 
 WINDOW = 2048
 END_ID = 1
@@ -45,9 +44,8 @@ SHARD_TOKENS = 2_000_000
 K1, B = 1.2, 0.75
 QUERY_TERMS = 12
 NEIGHBOURS = 24
-#: Documents whose terms are broadcast at a time, those of one answer row, and
-#: scores held at a time.
-ASKED, SLICE, SCORES = 500_000, 16_384, 1 << 16
+#: Rarest terms of a document whose pairs point to its partner.
+LINK_TERMS = 5
 #: Chunks whose ids a worker remembers (about 225 MB) until it has been idle for so
 #: many seconds, and their longest; chunks encoded in one call.
 REMEMBERED, IDLE_SECONDS, CHUNK_CHARS, TOGETHER = 900_000, 5, 64, 2000
@@ -263,26 +261,6 @@ class Index:
                 return best[np.lexsort((best, -score[best]))].tolist()
         return []
 
-    def best(self, terms: np.ndarray, without: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The best document for each row of terms (short rows filled up with
-        ``len(idf)``) and its score, of equal ones the first; documents from
-        ``without[0]`` to before ``without[1]`` are not looked at."""
-        ends = np.concatenate(([0], self.ends, self.ends[-1:]))
-        best, score = np.zeros(len(terms), np.int64), np.zeros(len(terms), np.float32)
-        step = max(1, SCORES // self.n)
-        for a in range(0, len(terms), step):
-            t = terms[a:a + step]
-            start, size = ends[t].ravel(), (ends[t + 1] - ends[t]).ravel()
-            at = np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
-            row = np.repeat(np.arange(len(t)) * self.n, t.shape[1])
-            all_ = np.bincount(np.repeat(row, size) + self.place[at], self.weight[at], len(t) * self.n).reshape(len(t), -1)
-            low, high = without[0][a:a + step], without[1][a:a + step]
-            for k in np.flatnonzero(low < high).tolist():
-                all_[k, low[k]:high[k]] = 0
-            best[a:a + step] = all_.argmax(axis=1)
-            score[a:a + step] = all_[np.arange(len(t)), best[a:a + step]]
-        return best, score
-
 
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int):
     """(document, start, length, sequence, offset) of every piece."""
@@ -324,102 +302,71 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
         seq, at = seq + 1, 0
 
 
-def _better(best, score, other, other_score):
-    """Where the other answer has a higher score, or an equal one and a smaller key."""
-    return (other_score > score) | ((other_score == score) & (score > 0) & (other < best))
-
+def term_pairs(made: DataFrame, df: np.ndarray, idf: np.ndarray, width: str) -> DataFrame:
+    """(pair, key, weight): the pairs of a document's rarest terms among those
+    that another document holds, with the sum of their idf. Terms are numbered
+    by falling rarity, so a pair is exact: no hash stands for it."""
+    order = np.argsort(np.where(df > 1, df, np.inf), kind="stable")
+    held = int((df > 1).sum())
+    rank = np.empty(len(df), width)
+    rank[order] = np.arange(len(df))
+    by_rank = idf[order].astype(np.float32)
 
-def nearest(made: DataFrame, n_docs: int, df: np.ndarray, idf: np.ndarray, mean: float, width: str,
-            shard_tokens: int) -> DataFrame:
-    """(key, best) of documents and their best BM25 neighbours in the whole
-    corpus, by the rarest terms that another document holds."""
-    spark = made.sparkSession
-
-    def ask(batches):
+    def pairs(batches):
         for b in batches:
-            terms = []
-            for x in b.column(1).to_pylist():
-                t = np.unique(np.frombuffer(x, width)).astype(np.int64)
-                t = t[df[t] > 1]
-                t = t[np.argsort(-idf[t], kind="stable")[:QUERY_TERMS]]
-                terms.append(np.pad(t, (0, QUERY_TERMS - len(t)), constant_values=len(idf)).astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(terms, pa.binary())], ["key", "terms"])
-
-    blocks = max(1, -(-n_docs // ASKED))
-    asks = materialise(made.select("key", "ids").mapInArrow(ask, "key long, terms binary"), "asks")
-    out = None
-    for block in range(blocks):
-        part = (asks.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block)
-                .dropDuplicates(["key"]).toArrow().sort_by("key"))
-        if not len(part):
-            continue
-        asked = spark.sparkContext.broadcast(
-            (part["key"].to_numpy(), b"".join(part["terms"].to_pylist())))
-
-        def answer(batches):
-            keys, terms = asked.value
-            terms = np.frombuffer(terms, "<i4").reshape(-1, QUERY_TERMS)
-            best, score = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.float32)
-
-            def look(held):
-                held.sort(key=lambda x: x[0])
-                own = np.array([k for k, _ in held], np.int64)
-                index = Index([np.frombuffer(x, width) for _, x in held], idf, mean)
-                for a in range(0, len(keys), SLICE):  # a bounded part of the answers at a time
-                    s = slice(a, a + SLICE)
-                    k, found = index.best(terms[s], (np.searchsorted(own, keys[s]),
-                                                     np.searchsorted(own, keys[s], "right")))
-                    better = _better(best[s], score[s], own[k], found)
-                    best[s], score[s] = np.where(better, own[k], best[s]), np.where(better, found, score[s])
-
-            held, size = [], 0
-            for b in batches:
-                for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    held.append((k, x))
-                    size += len(x) // np.dtype(width).itemsize
-                    if size >= shard_tokens:
-                        look(held)
-                        held, size = [], 0
-            if held:
-                look(held)
-            at = range(0, len(keys), SLICE)
+            if not b.num_rows:
+                continue
+            keys, rows = [], []
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                r = np.sort(rank[np.frombuffer(x, width)], kind="stable")  # a radix sort for narrow ids
+                r = r[np.concatenate(([True], r[1:] != r[:-1]))][:LINK_TERMS].astype(np.int64)
+                r = r[r < held]
+                first, second = np.triu_indices(len(r), 1)
+                rows.append(np.stack((r[first], r[second])))
+                keys.append(np.full(len(first), k))
+            first, second = np.concatenate(rows, axis=1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(at)), pa.int32()), pa.array([best[a:a + SLICE].tobytes() for a in at], pa.binary()),
-                 pa.array([score[a:a + SLICE].tobytes() for a in at], pa.binary())], ["slice", "best", "score"])
-
-        def merge(key, table):
-            k = key[0].as_py()
-            own = asked.value[0][k * SLICE:(k + 1) * SLICE]
-            best, score = np.zeros(len(own), np.int64), np.zeros(len(own), np.float32)
-            for x, y in zip(table["best"].to_pylist(), table["score"].to_pylist()):
-                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.float32)
-                better = _better(best, score, x, y)
-                best, score = np.where(better, x, best), np.where(better, y, score)
-            return pa.table([pa.array(own[score > 0]), pa.array(best[score > 0])], ["key", "best"])
-
-        found = materialise(made.select("key", "ids").mapInArrow(answer, "slice int, best binary, score binary"), "answers")
-        found = materialise(found.groupBy("slice").applyInArrow(merge, "key long, best long"), "nearest")
-        asked.unpersist()
-        out = found if out is None else out.unionByName(found)
-    return out
+                [pa.array((first << 32) | second), pa.array(np.concatenate(keys).astype(np.int64)),
+                 pa.array(by_rank[first] + by_rank[second])], ["pair", "key", "weight"])
+
+    return made.select("key", "ids").mapInArrow(pairs, "pair long, key long, weight float")
+
+
+def nearest(made: DataFrame, df: np.ndarray, idf: np.ndarray, width: str) -> DataFrame:
+    """(key, best): for every document that shares a pair of rare terms with
+    another, the one that most of its pairs (by weight) point to.
+
+    A pair points to the smallest key of its documents, for that one to the
+    largest. So a pair of two documents links them, and one of many costs a row
+    per document, never their pairs. The weight of a document's pairs with one
+    partner is the part of its BM25 score that its rarest terms decide."""
+    pairs = materialise(term_pairs(made, df, idf, width), "term-pairs")
+    hubs = materialise(pairs.groupBy("pair").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+                       .where("low <> high"), "hubs")
+    to = F.when(F.col("key") == F.col("low"), F.col("high")).otherwise(F.col("low"))
+    votes = (pairs.join(hubs, "pair").select("key", to.alias("to"), "weight")
+             .groupBy("key", "to").agg(F.sum("weight").alias("weight")))
+    return materialise(votes.groupBy("key").agg(F.max_by("to", F.struct("weight", F.bitwise_not("to"))).alias("best")),
+                       "nearest")
 
 
 def deal(made: DataFrame, near: DataFrame, shards: int, shard_tokens: int) -> DataFrame:
-    """``made`` with its shard. Documents linked by best neighbours share one; of
-    a linked group larger than a shard, those with one pair of neighbours do,
-    and of a pair's larger than a shard each goes its own way."""
-    roots = components(near, "key", "best")
+    """``made`` with its shard. Documents of one group, the smallest key that
+    two steps from partner to partner meet, share one; of a group larger than a
+    shard, those with one partner do, and of these, if they are larger than a
+    shard, each goes its own way."""
+    further = near.select(F.col("key").alias("best"), F.col("best").alias("next"))
     sizes = made.groupBy("key").agg(F.sum("n").alias("size"))
-    nodes = sizes.join(near, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
-    nodes = materialise(nodes.select("key", "size", F.coalesce("root", "key").alias("root"),
-                                     F.least("key", "best").alias("pair")), "nodes")
+    nodes = materialise(
+        sizes.join(near.join(further, "best", "left"), "key", "left")
+        .select("key", "size", F.least("key", "best", "next").alias("root"), F.least("key", "best").alias("pair")),
+        "nodes")
 
     def large(*names):
-        return materialise(nodes.groupBy(*names).agg(F.sum("size").alias("size")).where(F.col("size") > shard_tokens)
-                           .select(*names, F.lit(True).alias("large_" + names[-1])), "large-groups")
+        return (nodes.groupBy(*names).agg(F.sum("size").alias("size")).where(F.col("size") > shard_tokens)
+                .select(*names, F.lit(True).alias("large_" + names[-1])))
 
-    group, pair = large("root"), large("root", "pair")
-    to = (nodes.join(F.broadcast(group), "root", "left").join(F.broadcast(pair), ["root", "pair"], "left")
+    to = (nodes.join(large("root"), "root", "left").join(large("root", "pair"), ["root", "pair"], "left")
           .select("key", F.xxhash64("root", F.when(F.col("large_root"), F.col("pair")),
                                     F.when(F.col("large_pair"), F.col("key"))).alias("to")))
     to = materialise(to.select("key", F.pmod("to", F.lit(shards)).alias("shard")), "dealt")
@@ -458,9 +405,6 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer_path: str | None = Non
         return pa.table([pa.array(c, pa.int64()) if not isinstance(c, (pa.Array, pa.ChunkedArray)) else c
                          for c in cols], names)
 
-    if shards == 1:
-        dealt = made.withColumn("shard", F.lit(0).cast("long"))
-    else:
-        dealt = deal(made, nearest(made, n_docs, df, idf, mean, width, shard_tokens), shards, shard_tokens)
+    dealt = deal(made, nearest(made, df, idf, width), shards, shard_tokens)
     dealt = dealt.select("shard", "doc_id", "text_hash", "n", "ids")
     return dealt.groupBy("shard").applyInArrow(pack_group, PIECES + (", ids array<int>" if with_ids else ""))
