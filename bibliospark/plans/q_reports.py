@@ -189,6 +189,34 @@ def keyword_bag_comma(spark, base):
     return R.keyword_counts(star.article_keywords(spark, base), ",")
 
 
+# (clauses that an article must meet, clauses that it must not): alternatives in each
+_BOOLEAN = [([["the"], ["and"]], []), ([["re", "er"]], [["en"]]), ([], [["the"], ["en", "in"]]),
+            ([["License"], ["this", "are"]], [["absent word"]]), ([["of"], ["no such keyword"]], [])]
+
+
+def _boolean_sql() -> str:
+    def has(words):
+        return "list_has_any(tokens, [" + ", ".join(f"'{w.lower()}'" for w in words) + "])"
+    return " UNION ALL ".join(
+        f"SELECT CAST({q} AS BIGINT) AS qid, id FROM tokened WHERE "
+        + " AND ".join([has(c) for c in must] + ["NOT " + has(c) for c in never])
+        for q, (must, never) in enumerate(_BOOLEAN))
+
+
+@register("keyword_boolean", with_views(f"""
+WITH tokened AS (
+  SELECT id, list_transform(string_split(mots_cles, ' '), lambda t: lower({sql_strip('t')})) AS tokens
+  FROM articles WHERE mots_cles IS NOT NULL)
+{_boolean_sql()}""", "articles"))
+def keyword_boolean(spark, base):
+    # A5/U2 as an index: AND, OR and NOT on bitmaps of the articles of each keyword
+    from ..operators.keyword_index import build_index, search
+    rows = [(q, c, negated, word) for q, (must, never) in enumerate(_BOOLEAN)
+            for negated, clauses in ((False, must), (True, never)) for c, words in enumerate(clauses) for word in words]
+    queries = spark.createDataFrame(rows, "qid long, clause int, negated boolean, keyword string")
+    return search(build_index(star.article_keywords(spark, base), " "), queries)
+
+
 @register("article_authors", """
 SELECT l_orderkey AS article_id, p_name AS nom_complet
 FROM lineitem, part WHERE p_partkey = l_partkey""")
