@@ -12,8 +12,8 @@ with them, best first. The last one is cut at the window's end; what is left of
 it seeds the next window. So every window of a shard but its last is full.
 
 Plan, the same at any size: one pass tokenises; one pass over the ids counts;
-one emits ten narrow rows a document, which are grouped, joined and summed; one
-shuffle of the ids by shard packs. The driver holds the vocabulary's counts, a
+one emits ten narrow rows a document, which are grouped, joined and summed; the
+ids stay in the buckets they were made in until one shuffle by shard packs them. The driver holds the vocabulary's counts, a
 task one shard (``SHARD_TOKENS`` on average, and never less than one document).
 Groups larger than a shard, such as many copies, are dealt over several shards.
 
@@ -26,14 +26,18 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import threading
 import zlib
+from collections import ChainMap
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .common import materialise, small_batches, whole_text
 
 WINDOW = 2048
@@ -51,12 +55,13 @@ LINK_TERMS = 5
 REMEMBERED, IDLE_SECONDS, CHUNK_CHARS, TOGETHER = 900_000, 5, 64, 2000
 #: Fixed value: how byte-level vocabularies write a blank.
 BLANK = "\u0120"
-#: Marks of chunks that no blank stands before. Texts that hold one of ``ODD`` or
-#: match a pattern of ``ODD_RUNS`` (other white space, runs of it, stops behind
-#: anything but letters and digits) are cut at single blanks alone.
+#: Marks of chunks that no blank stands before. Texts that hold one of ``ODD`` (other
+#: white space, runs of it) or match ``ODD_STOP`` (stops behind anything but letters
+#: and digits) are cut at single blanks alone.
 STOP, BREAK = "\x01", "\x02"
-ODD = (STOP, BREAK, "  ", "\n\n", " \n", "\n ", " .", " ,", "\n.", "\n,", "_.", "_,")
-ODD_RUNS = (re.compile(r"[^\S \n]"), re.compile(r"[^\w\s][.,][ \n]"))
+ODD = (STOP, BREAK, "  ", "\n\n", " \n", "\n ", " .", " ,", "\n.", "\n,", "_.", "_,",
+       *[c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"])
+ODD_STOP = re.compile(r"[.,](?<=[^\w\s][.,])[ \n]")
 
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -97,17 +102,25 @@ class Encoder:
         return [np.array(e.ids, self.width) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
-    def _chunks(text: str) -> list[str]:
-        """The text's head, then chunks: plain ones stand behind a blank,
-        ones begun with ``STOP`` behind nothing, with ``BREAK`` behind a line break."""
-        odd = (any(x in text for x in ODD) or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n")
-               or any(x.search(text) for x in ODD_RUNS))
-        if not odd:
-            return (text.replace("\n", " " + BREAK).replace(". ", " " + STOP + ". ")
-                    .replace(", ", " " + STOP + ", ").split(" "))
+    def _marked(text: str) -> str | None:
+        """The text with a blank before every chunk: plain ones stand behind a blank,
+        ones begun with ``STOP`` behind nothing, with ``BREAK`` behind a line break.
+        None for odd texts."""
+        for x in ODD:
+            if x in text:
+                return None
+        if text.strip(" \n") != text or ODD_STOP.search(text):
+            return None
+        return (STOP + text.replace("\n", " " + BREAK).replace(". ", " " + STOP + ". ")
+                .replace(", ", " " + STOP + ", "))
+
+    @staticmethod
+    def _odd_chunks(text: str) -> list[str]:
+        """The chunks of an odd text, cut only at blanks between non-blanks."""
         if STOP in text or BREAK in text:
-            return [text]
-        return re.split(r"(?<=\S) (?=\S)", text)  # cut only at blanks between non-blanks
+            return [STOP + text]
+        head, *rest = re.split(r"(?<=\S) (?=\S)", text)
+        return [STOP + head, *rest]
 
     def _together(self, words: list[str], mark: str, starts: np.ndarray) -> dict[str, bytes]:
         """Ids of words, each with the mark before it."""
@@ -145,6 +158,8 @@ class Encoder:
             self.rest.cancel()
         with self.busy:
             out = self._encode(texts)
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
         # an idle worker gives its memory back
         self.rest = threading.Timer(IDLE_SECONDS, self.forget)
         self.rest.daemon = True
@@ -156,19 +171,38 @@ class Encoder:
             self.known.clear()
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self._chunks(t) for t in texts]
-        heads = self._ids([c.pop(0) for c in cut])
-        known = self.known
-        fresh = self._learn(set().union(*cut).difference(known))
-        known |= fresh
-        out = [np.concatenate((head, np.frombuffer(b"".join(map(known.__getitem__, chunks)), self.width)))
-               for head, chunks in zip(heads, cut)]
-        for c in [c for c in fresh if len(c) > CHUNK_CHARS]:
-            del known[c]
-        if len(known) > REMEMBERED:
-            known.clear()
+        out: list = [None] * len(texts)
+        at, marked = [], []
+        for k, text in enumerate(texts):
+            m = self._marked(text)
+            if m is None:
+                chunks = self._odd_chunks(text)
+                out[k] = np.frombuffer(b"".join(map(self._look_up(set(chunks)).__getitem__, chunks)), self.width)
+            else:
+                at.append(k)
+                marked.append(m)
+        if not at:
+            return out
+        # a chunk is looked up once a batch, whatever its number
+        cut = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
+        coded = cut.values.dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        ids = self._look_up(set(chunks))
+        flat = pa.array(map(ids.__getitem__, chunks), pa.large_binary()).take(coded.indices)
+        _, ends, data = flat.buffers()
+        ends = np.frombuffer(ends, np.int64)[cut.offsets.to_numpy()]
+        data = np.frombuffer(data or b"", np.uint8)
+        for k, a, b in zip(at, ends[:-1].tolist(), ends[1:].tolist()):
+            out[k] = data[a:b].view(self.width)
         return out
 
+    def _look_up(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of these chunks, new ones learned and, if short, remembered."""
+        known = self.known
+        fresh = self._learn(chunks.difference(known))
+        known |= {c: x for c, x in fresh.items() if len(c) <= CHUNK_CHARS}
+        return ChainMap(fresh, known) if any(len(c) > CHUNK_CHARS for c in fresh) else known
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -356,10 +390,10 @@ def deal(made: DataFrame, near: DataFrame, shards: int, shard_tokens: int) -> Da
     shard, those with one partner do, and of these, if they are larger than a
     shard, each goes its own way."""
     further = near.select(F.col("key").alias("best"), F.col("best").alias("next"))
-    sizes = made.groupBy("key").agg(F.sum("n").alias("size"))
+    sizes = made.groupBy("part", "key").agg(F.sum("n").alias("size"))
     nodes = materialise(
         sizes.join(near.join(further, "best", "left"), "key", "left")
-        .select("key", "size", F.least("key", "best", "next").alias("root"), F.least("key", "best").alias("pair")),
+        .select("part", "key", "size", F.least("key", "best", "next").alias("root"), F.least("key", "best").alias("pair")),
         "nodes")
 
     def large(*names):
@@ -367,10 +401,25 @@ def deal(made: DataFrame, near: DataFrame, shards: int, shard_tokens: int) -> Da
                 .select(*names, F.lit(True).alias("large_" + names[-1])))
 
     to = (nodes.join(large("root"), "root", "left").join(large("root", "pair"), ["root", "pair"], "left")
-          .select("key", F.xxhash64("root", F.when(F.col("large_root"), F.col("pair")),
+          .select("part", "key", F.xxhash64("root", F.when(F.col("large_root"), F.col("pair")),
                                     F.when(F.col("large_pair"), F.col("key"))).alias("to")))
-    to = materialise(to.select("key", F.pmod("to", F.lit(shards)).alias("shard")), "dealt")
-    return made.join(to, "key")
+    to = materialise(to.select("part", "key", F.pmod("to", F.lit(shards)).alias("shard")), "dealt")
+    # the ids lie in buckets of ``part``: only the narrow side moves to meet them
+    made.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return made.join(to.hint("shuffle_hash"), ["part", "key"])
+
+
+def written_where_made(made: DataFrame) -> DataFrame:
+    """``made`` and its ``part``, the task that made a row, as a table in buckets
+    of ``part`` in the shared folder: written without a shuffle, and joined by
+    (part, ...) without one. A task made anew has its number again."""
+    spark = made.sparkSession
+    path = scratch_path(spark, "tokens")
+    name = path.rstrip("/").rsplit("/", 1)[-1].replace("-", "_").replace(".", "_")
+    buckets = max(made.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    (made.withColumn("part", F.spark_partition_id()).write.mode("overwrite").option("path", path)
+     .bucketBy(buckets, "part").saveAsTable(name))
+    return spark.table(name)
 
 
 def pack(docs: DataFrame, window: int = WINDOW, tokenizer_path: str | None = None,
@@ -381,7 +430,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer_path: str | None = Non
     from tokenizers import Tokenizer
     width = id_type(Tokenizer.from_file(tokenizer_path or default_path()).get_vocab_size())
     made = tokens(docs, tokenizer_path, end_id).withColumn("key", F.xxhash64("doc_id", "text_hash"))
-    made = materialise(made, "tokens")
+    made = written_where_made(made)
     total, n_docs = made.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     counts = document_frequencies(made, width).toPandas()  # bounded by the vocabulary
     df = np.zeros(int(counts["term"].max()) + 1 if len(counts) else 1)
