@@ -31,7 +31,7 @@ def register(name: str, sql: str | None = None):
 
 def _load_all() -> None:
     # importing the modules registers their queries
-    from . import q_reports, q_retrieval, q_messages, q_etl  # noqa: F401
+    from . import q_reports, q_retrieval, q_messages, q_etl, q_layout  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:

@@ -10,7 +10,8 @@ from testdata_paths import SF001
 HEAVY = {"star_load_roundtrip", "json_sink_roundtrip", "corpus_load", "landed_documents_roundtrip", "message_log_sinks",
          "incremental_star_load", "dedup_landings", "message_default_time",
          "message_stream_numbering", "harvest_stream",
-         "reports_by_deltas", "discussion_search_indexed"}
+         "reports_by_deltas", "discussion_search_indexed", "bucketed_article_authors",
+         "bucketed_top_authors", "bucketed_top_countries", "landed_shapes", "landed_shape_drift"}
 
 
 def plan_of(df):
