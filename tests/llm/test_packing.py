@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
 from bibliospark.llm import packing
 
 
@@ -123,3 +124,17 @@ def test_further_terms_are_asked_while_none_is_found():
     index = packing.Index(docs, idf, 30.0)
     assert index.neighbours(0, np.array([True, True, False])) == [2]
     assert index.neighbours(0, np.array([True, False, False])) == [1]
+
+
+def test_ids_meet_their_shard_without_a_shuffle(spark):
+    rows = [(k % 30, f"text {k % 30} of a document") for k in range(60)]  # every row twice
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    made = packing.tokens(docs).withColumn("key", F.xxhash64("doc_id", "text_hash"))
+    made = packing.written_where_made(made)
+    dealt = packing.deal(made, spark.createDataFrame([], "key long, best long"), 3, 10**6)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Bucketed: true" in plan
+    ids = plan.index("ids#", plan.index("FileScan"))
+    assert "Exchange" not in plan[:ids]  # the scan of the ids comes first, below the join alone
+    got = sorted((r.doc_id, r.n) for r in dealt.collect())
+    assert got == sorted((r.doc_id, r.n) for r in made.collect()) and len(got) == 60
