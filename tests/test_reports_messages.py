@@ -112,6 +112,27 @@ def test_author_list_is_ordered_bag(spark):
     ]
 
 
+def test_author_list_is_numbered_before_it_is_expanded(spark):
+    # homonyms, a null name, repeated rows of every table; nothing that is sorted holds a row per line of a list
+    import random
+    rnd = random.Random(4)
+    names = ["Ann", "Bob", None, "Cy"]
+    authors = spark.createDataFrame([(i, names[i % 4]) for i in range(12)] + [(3, "Dan"), (5, "Bob")], "id long, nom_complet string")
+    bridge = spark.createDataFrame([(rnd.randrange(9), rnd.randrange(13)) for _ in range(90)], "article_id long, auteur_id long")
+    aa = spark.createDataFrame([(rnd.randrange(10), rnd.randrange(7)) for _ in range(60)], "auteur_id long, affiliation_id long")
+    aff = spark.createDataFrame([(i, "Uni" if i % 3 else None, "FR" if i % 2 else "") for i in range(6)] + [(2, "Lab", "MA")],
+                                "id long, nom_institution string, pays string")
+    arts = spark.createDataFrame([(i,) for i in range(8)] + [(2,), (None,)], "article_id long")
+    w = Window.partitionBy("article_id").orderBy("nom_complet", "institution", "country")
+    want = R.authors_and_affiliations(arts, authors, bridge, aa, aff).withColumn("pos", F.row_number().over(w).cast("long"))
+    want = sorted(map(repr, want.collect()))
+    for list_rows in (100_000, 0):
+        got = R.author_list(arts, authors, bridge, aa, aff, list_rows=list_rows)
+        assert sorted(map(repr, got.select(*["article_id", "nom_complet", "institution", "country", "pos"]).collect())) == want
+    plan = R.author_list(arts, authors, bridge, aa, aff)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Exchange")
+
+
 def test_articles_by_year_and_author(spark):
     arts = spark.createDataFrame(
         [(1, "1997-02-01"), (2, "1999-01-01"), (3, "n.d."), (4, "0000-01-01"), (5, "1998"), (6, None)],
