@@ -113,7 +113,7 @@ def _visit(spark, index: PivotIndex, qids, Q, near, wanted, bound, k) -> DataFra
 
     def scan(batches):
         qids_, Q_, near_, wanted_, bound_ = shared.value
-        best = TopK(Q_, k)
+        best = TopK(Q_, k, limit=bound_ ** 2 * (1 + 1e-9))
         compared = np.zeros(len(Q_), np.int64)
         for b in batches:
             if not b.num_rows:
@@ -122,14 +122,15 @@ def _visit(spark, index: PivotIndex, qids, Q, near, wanted, bound, k) -> DataFra
             r, cell = b.column(2).to_numpy(), b.column(3).to_numpy()
             for c in np.unique(cell):
                 at, asking = np.flatnonzero(cell == c), np.flatnonzero(wanted_[:, c])
-                if not len(asking):
-                    continue
-                open_ = np.abs(near_[asking, c][:, None] - r[at][None, :]) <= bound_[asking][:, None]
-                compared[asking] += open_.sum(axis=1)
-                rows = open_.any(axis=1)
-                cols = open_.any(axis=0)
+                # by distance to the pivot: what a question has to see is a range of it
+                at = at[np.argsort(r[at], kind="stable")]
+                low = np.searchsorted(r[at], near_[asking, c] - bound_[asking], "left")
+                high = np.searchsorted(r[at], near_[asking, c] + bound_[asking], "right")
+                compared[asking] += high - low
+                rows = high > low
                 if rows.any():
-                    best.add_some(asking[rows], C[at[cols]], ids[at[cols]], open_[np.ix_(rows, cols)])
+                    at = at[low[rows].min():high[rows].max()]
+                    best.add_some(asking[rows], C[at], ids[at])
         found = best.result(qids_)
         some = np.flatnonzero(compared)
         yield pa.RecordBatch.from_arrays(
@@ -159,8 +160,8 @@ def pivot_knn(index: PivotIndex, queries: DataFrame, k: int, batch_bytes: int =
     (qid, compared, total). Question ids are unique."""
     spark = queries.sparkSession
     parts = []
-    # a question takes its vector and three figures per cell
-    for batch in question_batches(queries, ["qid", "embedding"], batch_bytes, extra=24 * len(index.pivots)):
+    # a question takes its vector, a distance and a mark per cell
+    for batch in question_batches(queries, ["qid", "embedding"], batch_bytes, extra=12 * len(index.pivots)):
         qids = batch["qid"].to_numpy(np.int64)
         if not len(qids) or not len(index.pivots):
             continue
