@@ -96,3 +96,25 @@ def test_numbering_keeps_null_keys(spark):
     rows = [(None, 3), (None, 1), (5, 2), (5, 9), (None, 8)]
     got = sequence_numbers(spark.createDataFrame(rows, "k long, t long"), ["t"], key="k", out="n").collect()
     assert sorted((r.k or 0, r.t, r.n) for r in got) == [(0, 1, 1), (0, 3, 2), (0, 8, 3), (5, 2, 1), (5, 9, 2)]
+
+
+def test_values_are_numbered_where_they_lie(spark, tmp_path):
+    # several files and tasks; the values are neither sorted nor kept uncompressed
+    path, spark_bytes = str(tmp_path / "lines"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    rows = spark.range(300).selectExpr("id", "concat('{\"n\":', id, '}') AS value")
+    rows.repartitionByRange(5, "id").sortWithinPartitions("id").select("value").write.option("compression", "gzip").text(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200b")
+    try:
+        read = landed.read_documents(spark, path)
+        plan = read._jdf.queryExecution().executedPlan().toString()
+        got = [tuple(r) for r in read.orderBy("seq").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", spark_bytes)
+    assert got == [(i + 1, f'{{"n":{i}}}') for i in range(300)]
+    assert "Scan parquet" in plan and "ExistingRDD" not in plan
+
+
+def test_sink_may_be_compressed(spark, tmp_path):
+    landed.write_json(spark.createDataFrame([(1, None)], "id long, x string"), str(tmp_path / "out"), compression="gzip")
+    assert [p.suffix for p in (tmp_path / "out").glob("part-*")] == [".gz"]
+    assert spark.read.text(str(tmp_path / "out")).first().value == '{"id":1,"x":null}'
