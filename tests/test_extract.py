@@ -116,3 +116,30 @@ def test_clean_drops_blank_id_and_title(spark):
     rows = [(0, json.dumps(doc({}))), (1, json.dumps(doc({"dc:title": "T"})))]
     df = spark.createDataFrame(rows, "seq long, value string")
     assert [r.seq for r in X.clean(df).collect()] == [1]
+
+
+def test_plain_documents_agree_with_the_rules(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    block = [{"@id": "1", "affilname": " U1 ", "affiliation-country": None}, {"@id": "1", "affilname": "dup"}, {"affilname": "NoId"}]
+    people = [{"@auid": " 7 ", "ce:given-name": "A", "ce:surname": None, "orcid": " o ", "affiliation": [{"@id": "1"}, {"@id": "9"}, {}]},
+              {"ce:surname": "B", "affiliation": {"@id": None}}, {"@auid": "8"}]
+    core = {"dc:identifier": " SCOPUS_ID:85 ", "dc:title": " Té\n", "prism:doi": None}
+    plain = [
+        doc(core, authors={"author": people}, affiliation=block, authkeywords={"author-keyword": [{"$": " a "}, {"$": ""}, {}]}),
+        doc(core, authors={"author": people[0]}, affiliation=block[0], authkeywords={"author-keyword": " solo "}),
+        doc({"dc:title": 12, "dc:description": ["x"]}, **{"subject-areas": {"subject-area": [3]}}),
+        doc({"dc:title": 0}, authkeywords="text"), doc(core, authkeywords={"author-keyword": None}),
+        doc(core, authkeywords={"author-keyword": 4}), doc(core, authors={"author": {}}, affiliation=""),
+        doc(core, **{"subject-areas": {"subject-area": {"@abbrev": 1}}}), doc(core, **{"subject-areas": {"subject-area": [{"@abbrev": " M "}]}}),
+        '{"abstracts-retrieval-response":{"coredata":{"dc:title":"a","dc:title":"b"}}}',
+    ]
+    left = [doc(core, authors={"author": {"@auid": 5}}), doc(core, authors={"author": [1]}), doc(core, affiliation=None),
+            "{not json", "[1]", '{"a":NaN}', '{"a":"\\ud800"}', '{"a":' + "[" * 1500 + "]" * 1500 + "}", '{"a":1e999}', "{} {}"]
+    text = [r if isinstance(r, str) else json.dumps(r, ensure_ascii=False) for r in plain + left]
+    assert [X._plain(t.encode()) is not None for t in text] == [True] * len(plain) + [False] * len(left)
+    assert X._plain(None) is None and X._plain(b'{"a":"\xff"}') is None
+    found = run(spark, text)
+    pass_over = X._with_plain
+    monkeypatch.setattr(X, "_with_plain", lambda raw: pass_over(raw).withColumn("_plain", F.col("seq") < 0))
+    assert run(spark, text) == found
