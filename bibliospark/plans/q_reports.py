@@ -145,15 +145,16 @@ def reports_by_deltas(spark, base):
     from functools import reduce
 
     from ..operators.report_store import ReportStore
-    from ..session import scratch_path
+    from ..session import scratch_path, written
     from ..sources.tables import Catalog
     cat = Catalog(spark, base)
     orders = cat.orders.select("o_orderkey", "o_orderstatus")
     half = (orders.agg(F.max("o_orderkey")).first()[0] or 0) // 2  # a scalar
-    arts = star.articles(spark, base).select("id", "date_publication", "domaine_recherche").join(
-        orders, F.col("id") == F.col("o_orderkey"))
+    # the deltas are cut from the joined rows, which are made once
+    arts = written(star.articles(spark, base).select("id", "date_publication", "domaine_recherche").join(
+        orders, F.col("id") == F.col("o_orderkey")), "report-articles")
     lines = cat.lineitem.select("l_orderkey", F.col("l_partkey").alias("auteur_id"), F.col("l_suppkey").alias("affiliation_id"))
-    lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = written(lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).drop("l_orderkey"), "report-lines")
     first, open_ = F.col("o_orderkey") <= half, F.col("o_orderstatus") == "O"
     store = ReportStore.create(spark, scratch_path(spark, "report-store"))
     for part, sign in ((first, 1), (~first, 1), (open_, -1), (open_ & first, 1)):

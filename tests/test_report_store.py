@@ -65,3 +65,35 @@ def test_everything_deleted_and_failed_deltas(spark, monkeypatch):
     assert store.top_domains().count() == store.publications_by_date().count() == 0
     store.apply(articles=one(-1))  # never inserted
     assert store.top_domains().count() == 0
+
+
+def test_deltas_are_cut_from_rows_joined_once(spark, tmp_path, monkeypatch):
+    import datetime as dt
+
+    from bibliospark.operators import report_store
+    from bibliospark.plans import catalog
+    day = dt.date(2020, 1, 2)
+    tables = {
+        "orders": ([(1, day, "5-LOW", "F"), (2, day, "5-LOW", "O"), (3, day, "5-LOW", "P"), (4, day, "5-LOW", "O")],
+                   "o_orderkey long, o_orderdate date, o_orderpriority string, o_orderstatus string"),
+        "documents": ([(1, "t", "web"), (3, "u", "web")], "doc_id long, text string, source string"),
+        "lineitem": ([(1, 7, 5), (1, 8, 5), (2, 7, 5), (3, 7, 6), (4, 8, 6), (9, 7, 5)], "l_orderkey long, l_partkey long, l_suppkey long"),
+        "part": ([(7, "Ann", "b"), (8, "Bob", "b")], "p_partkey long, p_name string, p_brand string"),
+        "supplier": ([(5, "s5", 0), (6, "s6", 1)], "s_suppkey long, s_name string, s_nationkey long"),
+        "nation": ([(0, "FR"), (1, "MA")], "n_nationkey long, n_name string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    plans, apply = [], report_store.ReportStore.apply
+
+    def watched(self, **parts):
+        plans.extend(df._jdf.queryExecution().optimizedPlan().toString() for df in parts.values())
+        apply(self, **parts)
+
+    monkeypatch.setattr(report_store.ReportStore, "apply", watched)
+    got = {tuple(r) for r in catalog.queries()["reports_by_deltas"](spark, str(tmp_path)).collect()}
+    assert len(plans) == 12 and not any("Join" in p for p in plans)
+    # open orders behind the first half of the keys stay deleted: 1, 2 and 3 are kept
+    assert {("author", "Ann", 3), ("author", "Bob", 1), ("country", "FR", 3), ("country", "MA", 1),
+            ("country, pairs once", "FR", 2), ("country, pairs once", "MA", 1), ("domain", "web", 2),
+            ("date", "2020-01-02", 3), ("year", "2020", 3)} == got
