@@ -118,3 +118,20 @@ def test_sink_may_be_compressed(spark, tmp_path):
     landed.write_json(spark.createDataFrame([(1, None)], "id long, x string"), str(tmp_path / "out"), compression="gzip")
     assert {p.suffix for p in (tmp_path / "out").glob("part-*")} == {".gz"}
     assert spark.read.text(str(tmp_path / "out")).first().value == '{"id":1,"x":null}'
+
+
+def test_enrich_moves_each_document_once(spark):
+    from pyspark.sql import functions as F
+
+    entries = spark.createDataFrame([(0, 0, "SCOPUS_ID:1"), (0, 1, ""), (25, 0, "SCOPUS_ID:2"), (25, 1, "SCOPUS_ID:1"), (25, 2, "SCOPUS_ID:3")],
+                                    "start long, pos int, id string")
+    entries = entries.select("start", "pos", F.parse_json(F.to_json(F.struct(F.col("id").alias("dc:identifier")))).alias("entry"))
+    details = spark.createDataFrame([("1", 1, 404, "gone"), ("1", 2, 200, "a"), ("1", 3, 200, "late"), ("2", 5, 200, "b"),
+                                     ("2", 5, 200, "b2"), ("3", 1, 500, "x"), ("4", 1, 200, "unasked"), (None, 1, 200, "no id")],
+                                    "scopus_id string, landed int, status int, body string")
+    out = landed.enrich(entries, details)
+    assert sorted(tuple(r) for r in out.collect()) == [
+        (0, 0, "1", "a"), (25, 0, "2", "b"), (25, 0, "2", "b2"), (25, 1, "1", "a")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # no join that picks documents before the one that gives them out
+    assert "LeftSemi" not in plan and plan.count("Join Inner") == 2
