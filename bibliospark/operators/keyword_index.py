@@ -20,12 +20,13 @@ rows; null ids are not indexed.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import py_strip, split_tokens
+from ..functions.text import py_strip
 from ..session import scratch_path
 
 #: Positions up to which a container is a list; from there a bitmap is smaller.
@@ -63,12 +64,15 @@ def build_index(articles: DataFrame, delimiter: str = ";", id_col: str = "id", k
     rows = articles.where(F.col(id_col).isNotNull()).select(
         F.bitmap_bucket_number(F.col(id_col).cast("long")).alias("bucket"),
         F.bitmap_bit_position(F.col(id_col).cast("long")).cast("int").alias("at"),
-        F.array_distinct(split_tokens(F.col(keyword_col), delimiter)).alias("keywords"))
+        F.array_distinct(F.split(F.coalesce(F.col(keyword_col), F.lit("")), re.escape(delimiter))).alias("keywords"))
     rows.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")).write.parquet(index.all_ids)
 
     groups = scratch_path(spark, "keyword-groups")
-    (rows.select("bucket", "at", F.explode("keywords").alias("keyword")).groupBy("keyword", "bucket")
-     .agg(F.array_sort(F.collect_set("at")).alias("positions")).write.parquet(groups))
+    # stripped and lower-cased row by row, as ``split_tokens`` does within a list:
+    # expressions over rows are compiled, those within lists are not
+    (rows.select("bucket", "at", F.explode("keywords").alias("keyword"))
+     .withColumn("keyword", F.lower(py_strip("keyword"))).where("keyword <> ''").groupBy("keyword", "bucket")
+     .agg(F.sort_array(F.collect_set("at")).alias("positions")).write.parquet(groups))
     made = spark.read.schema(_BUCKET + "positions array<int>").parquet(groups)
     few = F.size("positions") <= sparse
 
