@@ -24,12 +24,13 @@ text. Other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
 import threading
 import zlib
-from collections import ChainMap
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +52,9 @@ NEIGHBOURS = 24
 #: Rarest terms of a document whose pairs point to its partner.
 LINK_TERMS = 5
 #: Chunks whose ids a worker remembers (about 225 MB) until it has been idle for so
-#: many seconds, and their longest; chunks encoded in one call.
-REMEMBERED, IDLE_SECONDS, CHUNK_CHARS, TOGETHER = 900_000, 5, 64, 2000
+#: many seconds, and their longest; chunks encoded in one call; bytes of text looked
+#: up together.
+REMEMBERED, IDLE_SECONDS, CHUNK_CHARS, TOGETHER, TEXT_BYTES = 900_000, 5, 64, 2000, 4 << 20
 #: Fixed value: how byte-level vocabularies write a blank.
 BLANK = "\u0120"
 #: Marks of chunks that no blank stands before. Texts that hold one of ``ODD`` (other
@@ -87,19 +89,32 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = id_type(self.tokenizer.get_vocab_size())
+        #: Chunks of late, and those before them: what is met again moves to the first.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.busy, self.rest = threading.Lock(), None
         self.blank = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, k in self.tokenizer.get_vocab().items():
             self.blank[k] = token.startswith(BLANK)
         self.line = np.zeros(len(self.blank), bool)
         self.line[self._ids(["\n"])[0]] = True
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.width) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # a blank and ASCII letters are one piece for the byte-level split and stand for
+        # themselves, so such chunks go to the merges without it
+        spec = json.loads(self.tokenizer.to_str())
+        split = spec["pre_tokenizer"] or {}
+        self.merges = None
+        if (split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+                and spec["normalizer"] is None and all(t["special"] for t in spec["added_tokens"])):
+            self.merges = Tokenizer(self.tokenizer.model)
+            self.merges.pre_tokenizer = WhitespaceSplit()
+
+    def _ids(self, texts: list[str], by=None) -> list[np.ndarray]:
+        return [np.array(e.ids, self.width)
+                for e in (by or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
     def _marked(text: str) -> str | None:
@@ -122,12 +137,15 @@ class Encoder:
         head, *rest = re.split(r"(?<=\S) (?=\S)", text)
         return [STOP + head, *rest]
 
-    def _together(self, words: list[str], mark: str, starts: np.ndarray) -> dict[str, bytes]:
-        """Ids of words, each with the mark before it."""
+    def _together(self, words: list[str], mark: str, starts: np.ndarray, letters: bool = False) -> dict[str, bytes]:
+        """Ids of words, each with the mark before it; ``letters``: by the merges alone."""
         out = {}
         for k in range(0, len(words), TOGETHER):
             part = words[k:k + TOGETHER]
-            (ids,) = self._ids([mark + mark.join(part)])
+            if letters:
+                (ids,) = self._ids([BLANK + (" " + BLANK).join(part)], self.merges)
+            else:
+                (ids,) = self._ids([mark + mark.join(part)])
             at = np.flatnonzero(starts[ids]).tolist()
             if len(at) == len(part):
                 data, size = ids.tobytes(), ids.itemsize
@@ -137,17 +155,19 @@ class Encoder:
                 out |= zip(part, [x.tobytes() for x in self._ids([mark + c for c in part])])
         return out
 
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of chunks with what stands before them."""
-        plain, lines, odd = [], [], []
+        letters, plain, lines, odd = [], [], [], []
         for c in chunks:
-            if c == "" or c[-1].isspace() or " " in c or c[0] == STOP:
+            if self.merges and c.isascii() and c.isalpha():
+                letters.append(c)
+            elif c == "" or c[-1].isspace() or " " in c or c[0] == STOP:
                 odd.append(c)
             elif c[0] == BREAK:
                 lines.append(c[1:])
             else:
                 plain.append(c)
-        out = self._together(plain, " ", self.blank)
+        out = self._together(letters, " ", self.blank, letters=True) | self._together(plain, " ", self.blank)
         # chunks begun with a line break hold no other, so its id cuts them apart
         out |= {BREAK + c: x for c, x in self._together(lines, "\n", self.line).items()}
         out |= zip(odd, [x.tobytes() for x in self._ids([c[1:] if c[:1] == STOP else " " + c for c in odd])])
@@ -158,8 +178,8 @@ class Encoder:
             self.rest.cancel()
         with self.busy:
             out = self._encode(texts)
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
+            if len(self.known) > REMEMBERED // 2:
+                self.older, self.known = self.known, {}
         # an idle worker gives its memory back
         self.rest = threading.Timer(IDLE_SECONDS, self.forget)
         self.rest.daemon = True
@@ -169,6 +189,7 @@ class Encoder:
     def forget(self) -> None:
         with self.busy:
             self.known.clear()
+            self.older.clear()
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
@@ -177,18 +198,22 @@ class Encoder:
             m = self._marked(text)
             if m is None:
                 chunks = self._odd_chunks(text)
-                out[k] = np.frombuffer(b"".join(map(self._look_up(set(chunks)).__getitem__, chunks)), self.width)
+                distinct = list(dict.fromkeys(chunks))
+                ids = dict(zip(distinct, self._look_up(distinct)))
+                out[k] = np.frombuffer(b"".join(map(ids.__getitem__, chunks)), self.width)
             else:
                 at.append(k)
                 marked.append(m)
         if not at:
             return out
-        # a chunk is looked up once a batch, whatever its number
+        # a chunk is looked up once a call, whatever its number
         cut = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
         coded = cut.values.dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        ids = self._look_up(set(chunks))
-        flat = pa.array(map(ids.__getitem__, chunks), pa.large_binary()).take(coded.indices)
+        ids = self._look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ends = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)), out=ends[1:])
+        flat = pa.Array.from_buffers(pa.large_binary(), len(ids),
+                                     [None, pa.py_buffer(ends), pa.py_buffer(b"".join(ids))]).take(coded.indices)
         _, ends, data = flat.buffers()
         ends = np.frombuffer(ends, np.int64)[cut.offsets.to_numpy()]
         data = np.frombuffer(data or b"", np.uint8)
@@ -196,12 +221,16 @@ class Encoder:
             out[k] = data[a:b].view(self.width)
         return out
 
-    def _look_up(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of these chunks, new ones learned and, if short, remembered."""
-        known = self.known
-        fresh = self._learn(chunks.difference(known))
-        known |= {c: x for c, x in fresh.items() if len(c) <= CHUNK_CHARS}
-        return ChainMap(fresh, known) if any(len(c) > CHUNK_CHARS for c in fresh) else known
+    def _look_up(self, chunks: list[str]) -> list[bytes]:
+        """Ids of these distinct chunks, new ones learned and, if short, remembered."""
+        ids = list(map(self.known.get, chunks))
+        missing = [c for c, x in zip(chunks, ids) if x is None]
+        if missing:
+            found = {c: x for c in missing if (x := self.older.get(c)) is not None}
+            found |= self._learn([c for c in missing if c not in found])
+            ids = [found[c] if x is None else x for c, x in zip(chunks, ids)]
+            self.known |= {c: x for c, x in found.items() if len(c) <= CHUNK_CHARS}
+        return ids
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -225,11 +254,23 @@ def tokens(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = END
     def encode(batches):
         encoder = encoder_of(tokenizer_path or default_path())
         end = np.array([end_id], encoder.width)
+
+        def done(held):
+            coded = iter(encoder.encode([t for b in held for t in b.column(2).to_pylist()]))
+            for b in held:
+                ids = [np.concatenate((x, end)) for x in islice(coded, b.num_rows)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(1), pa.array([len(x) for x in ids], pa.int64()),
+                     pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "text_hash", "n", "ids"])
+
+        held, size = [], 0
         for b in batches:
-            ids = [np.concatenate((x, end)) for x in encoder.encode(b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([len(x) for x in ids], pa.int64()),
-                 pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "text_hash", "n", "ids"])
+            held.append(b)
+            size += b.column(2).nbytes
+            if size >= TEXT_BYTES:
+                yield from done(held)
+                held, size = [], 0
+        yield from done(held)
 
     small_batches(docs.sparkSession)
     text = whole_text("text")
@@ -237,17 +278,22 @@ def tokens(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = END
             .mapInArrow(encode, "doc_id long, text_hash long, n long, ids binary"))
 
 
+def distinct_ids(ids: np.ndarray) -> np.ndarray:
+    """The distinct values in order; narrow ids take a radix sort."""
+    ids = np.sort(ids, kind="stable")
+    return ids[np.concatenate(([True], ids[1:] != ids[:-1]))]
+
+
 def document_frequencies(tokenised: DataFrame, width: str) -> DataFrame:
     """(term, df) over all documents; as many rows as distinct token ids."""
     def count(batches):
         df = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column(0).to_pylist():
-                seen = np.sort(np.frombuffer(x, width), kind="stable")  # a radix sort for narrow ids
-                seen = seen[np.concatenate(([True], seen[1:] != seen[:-1]))]
-                if seen[-1] >= len(df):
-                    df = np.concatenate((df, np.zeros(int(seen[-1]) + 1 - len(df), np.int64)))
-                df[seen] += 1
+            seen = [distinct_ids(np.frombuffer(x, width)) for x in b.column(0).to_pylist()]
+            if seen:
+                now = np.bincount(np.concatenate(seen), minlength=len(df))
+                now[:len(df)] += df
+                df = now
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["term", "df"])
 
@@ -350,17 +396,17 @@ def term_pairs(made: DataFrame, df: np.ndarray, idf: np.ndarray, width: str) ->
         for b in batches:
             if not b.num_rows:
                 continue
-            keys, rows = [], []
-            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                r = np.sort(rank[np.frombuffer(x, width)], kind="stable")  # a radix sort for narrow ids
-                r = r[np.concatenate(([True], r[1:] != r[:-1]))][:LINK_TERMS].astype(np.int64)
-                r = r[r < held]
-                first, second = np.triu_indices(len(r), 1)
-                rows.append(np.stack((r[first], r[second])))
-                keys.append(np.full(len(first), k))
-            first, second = np.concatenate(rows, axis=1)
+            keys, rows = b.column(0).to_numpy(zero_copy_only=False), []
+            rarest = np.full((b.num_rows, LINK_TERMS), held)
+            for k, x in enumerate(b.column(1).to_pylist()):
+                r = distinct_ids(rank[np.frombuffer(x, width)])[:LINK_TERMS]
+                rarest[k, :len(r)] = r
+            for x, y in combinations(range(LINK_TERMS), 2):  # terms of no other document come last
+                of = np.flatnonzero(rarest[:, y] < held)
+                rows.append(np.stack((rarest[of, x], rarest[of, y], of)))
+            first, second, of = np.concatenate(rows, axis=1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array((first << 32) | second), pa.array(np.concatenate(keys).astype(np.int64)),
+                [pa.array((first << 32) | second), pa.array(keys[of]),
                  pa.array(by_rank[first] + by_rank[second])], ["pair", "key", "weight"])
 
     return made.select("key", "ids").mapInArrow(pairs, "pair long, key long, weight float")
@@ -417,7 +463,7 @@ def written_where_made(made: DataFrame) -> DataFrame:
     path = scratch_path(spark, "tokens")
     name = path.rstrip("/").rsplit("/", 1)[-1].replace("-", "_").replace(".", "_")
     buckets = max(made.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    (made.withColumn("part", F.spark_partition_id()).write.mode("overwrite").option("path", path)
+    (made.withColumn("part", F.spark_partition_id()).write.mode("overwrite").option("compression", "zstd").option("path", path)
      .bucketBy(buckets, "part").saveAsTable(name))
     return spark.table(name)
 

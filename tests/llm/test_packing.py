@@ -138,3 +138,21 @@ def test_ids_meet_their_shard_without_a_shuffle(spark):
     assert "Exchange" not in plan[:ids]  # the scan of the ids comes first, below the join alone
     got = sorted((r.doc_id, r.n) for r in dealt.collect())
     assert got == sorted((r.doc_id, r.n) for r in made.collect()) and len(got) == 60
+
+
+def test_chunks_are_remembered_in_two_turns(monkeypatch):
+    encoder = packing.Encoder(packing.default_path())
+    calls = []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda chunks: calls.append(sorted(chunks)) or learn(chunks))
+    monkeypatch.setattr(packing, "REMEMBERED", 6)
+    texts = ["it alpha beta gamma delta", "it alpha zeta", "it alpha, beta \u00e9t\u00e9 x9"]
+    for t in texts + texts:
+        assert encoder.encode([t])[0].tolist() == reference_ids([t])[0]
+    # what was met a turn ago is not learned again, as it was when all was forgotten at once
+    assert calls[1] == ["zeta"] and "alpha" not in calls[2]
+    assert sum("alpha" in c for c in calls) == 1
+    # words of letters take the merges alone, others the whole tokenizer
+    words = ["Alpha", "zZzq", "don", "t", "caf\u00e9", "x9", "a_b", "don't", "--", "1234"]
+    alone = encoder._learn(words)
+    assert [np.frombuffer(alone[w], encoder.width).tolist() for w in words] == reference_ids([" " + w for w in words])
