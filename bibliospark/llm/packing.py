@@ -54,7 +54,7 @@ LINK_TERMS = 5
 #: Chunks whose ids a worker remembers (about 225 MB) until it has been idle for so
 #: many seconds, and their longest; chunks encoded in one call; bytes of text looked
 #: up together.
-REMEMBERED, IDLE_SECONDS, CHUNK_CHARS, TOGETHER, TEXT_BYTES = 900_000, 5, 64, 2000, 4 << 20
+REMEMBERED, IDLE_SECONDS, CHUNK_CHARS, TOGETHER, TEXT_BYTES = 900_000, 5, 64, 2000, 2 << 20
 #: Fixed value: how byte-level vocabularies write a blank.
 BLANK = "\u0120"
 #: Marks of chunks that no blank stands before. Texts that hold one of ``ODD`` (other
@@ -117,17 +117,21 @@ class Encoder:
                 for e in (by or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
-    def _marked(text: str) -> str | None:
-        """The text with a blank before every chunk: plain ones stand behind a blank,
-        ones begun with ``STOP`` behind nothing, with ``BREAK`` behind a line break.
-        None for odd texts."""
+    def _odd(text: str) -> bool:
         for x in ODD:
             if x in text:
-                return None
-        if text.strip(" \n") != text or ODD_STOP.search(text):
-            return None
-        return (STOP + text.replace("\n", " " + BREAK).replace(". ", " " + STOP + ". ")
-                .replace(", ", " " + STOP + ", "))
+                return True
+        return text.strip(" \n") != text or ODD_STOP.search(text) is not None
+
+    @staticmethod
+    def _marked(texts: list[str]) -> pa.Array:
+        """The texts, none odd, with a blank before every chunk: plain ones stand
+        behind a blank, ones begun with ``STOP`` behind nothing, with ``BREAK`` behind
+        a line break."""
+        out = pa.array([STOP + x for x in texts], pa.large_string())
+        for mark, place in ((BREAK, "\n"), (STOP + ". ", ". "), (STOP + ", ", ", ")):
+            out = pc.replace_substring(out, place, " " + mark)
+        return out
 
     @staticmethod
     def _odd_chunks(text: str) -> list[str]:
@@ -193,21 +197,19 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
-        at, marked = [], []
+        at = []
         for k, text in enumerate(texts):
-            m = self._marked(text)
-            if m is None:
+            if self._odd(text):
                 chunks = self._odd_chunks(text)
                 distinct = list(dict.fromkeys(chunks))
                 ids = dict(zip(distinct, self._look_up(distinct)))
                 out[k] = np.frombuffer(b"".join(map(ids.__getitem__, chunks)), self.width)
             else:
                 at.append(k)
-                marked.append(m)
         if not at:
             return out
         # a chunk is looked up once a call, whatever its number
-        cut = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
+        cut = pc.split_pattern(self._marked([texts[k] for k in at]), " ")
         coded = cut.values.dictionary_encode()
         ids = self._look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         ends = np.zeros(len(ids) + 1, np.int64)
