@@ -64,6 +64,12 @@ STOP, BREAK = "\x01", "\x02"
 ODD = (STOP, BREAK, "  ", "\n\n", " \n", "\n ", " .", " ,", "\n.", "\n,", "_.", "_,",
        *[c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"])
 ODD_STOP = re.compile(r"[.,](?<=[^\w\s][.,])[ \n]")
+#: Every odd text matches this, one search by Arrow; few others do.
+MAYBE_ODD = "|".join([r"\A[ \n]", r"[ \n]\z", "[^0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][.,][ \n]",
+                      "[" + "".join(x for x in ODD if len(x) == 1) + "]",
+                      *[re.escape(x) for x in ODD if len(x) > 1]])
+#: Letters below this one are the same in all versions of Unicode.
+LATIN_END = 0x250
 
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -81,15 +87,16 @@ class Encoder:
     Byte-level BPE splits a text before every single blank between two
     non-blanks, before a full stop or comma between an alphanumeric character
     and a blank, and around a single line break. The chunks between those places
-    are encoded on their own and remembered. New chunks are encoded many to a
-    call, as one text, and cut apart where ids begin with a blank; the ids are
-    those of the whole text.
+    are encoded on their own and remembered. New words of Latin letters are
+    handed to the tokenizer's model one by one; other new chunks are encoded many
+    to a call, as one text, and cut apart where ids begin with a blank. The ids
+    are those of the whole text.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import WhitespaceSplit
+        from tokenizers.pre_tokenizers import ByteLevel
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = id_type(self.tokenizer.get_vocab_size())
@@ -102,19 +109,19 @@ class Encoder:
             self.blank[k] = token.startswith(BLANK)
         self.line = np.zeros(len(self.blank), bool)
         self.line[self._ids(["\n"])[0]] = True
-        # a blank and ASCII letters are one piece for the byte-level split and stand for
-        # themselves, so such chunks go to the merges without it
+        # a blank and letters are one piece for the byte-level split, so such chunks go to
+        # the model alone, written as that split writes them
         spec = json.loads(self.tokenizer.to_str())
         split = spec["pre_tokenizer"] or {}
-        self.merges = None
+        self.written = None
         if (split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
                 and spec["normalizer"] is None and all(t["special"] for t in spec["added_tokens"])):
-            self.merges = Tokenizer(self.tokenizer.model)
-            self.merges.pre_tokenizer = WhitespaceSplit()
+            level = ByteLevel(add_prefix_space=False, use_regex=False)
+            self.written = {k: level.pre_tokenize_str(chr(k))[0][0] for k in range(0x80, LATIN_END)}
 
-    def _ids(self, texts: list[str], by=None) -> list[np.ndarray]:
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.width)
-                for e in (by or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
     def _odd(text: str) -> bool:
@@ -141,40 +148,48 @@ class Encoder:
         head, *rest = re.split(r"(?<=\S) (?=\S)", text)
         return [STOP + head, *rest]
 
-    def _together(self, words: list[str], mark: str, starts: np.ndarray, letters: bool = False) -> dict[str, bytes]:
-        """Ids of words, each with the mark before it; ``letters``: by the merges alone."""
-        out = {}
+    def _together(self, words: list[str], mark: str, starts: np.ndarray) -> list[bytes]:
+        """Ids of words, each with the mark before it."""
+        out = []
         for k in range(0, len(words), TOGETHER):
             part = words[k:k + TOGETHER]
-            if letters:
-                (ids,) = self._ids([BLANK + (" " + BLANK).join(part)], self.merges)
-            else:
-                (ids,) = self._ids([mark + mark.join(part)])
+            (ids,) = self._ids([mark + mark.join(part)])
             at = np.flatnonzero(starts[ids]).tolist()
             if len(at) == len(part):
                 data, size = ids.tobytes(), ids.itemsize
                 at = [a * size for a in at] + [len(data)]
-                out |= zip(part, [data[a:b] for a, b in zip(at, at[1:])])
+                out += [data[a:b] for a, b in zip(at, at[1:])]
             else:  # a vocabulary with the mark inside its tokens
-                out |= zip(part, [x.tobytes() for x in self._ids([mark + c for c in part])])
+                out += [x.tobytes() for x in self._ids([mark + c for c in part])]
         return out
 
+    def _words(self, words: list[str], mark: str) -> list[bytes]:
+        """Ids of words of Latin letters, each with the mark before it, by the model alone."""
+        tokenize, written, ids, ends = self.tokenizer.model.tokenize, self.written, [], [0]
+        for c in words:
+            ids += [t.id for t in tokenize(mark + (c if c.isascii() else c.translate(written)))]
+            ends.append(len(ids))
+        ids = np.array(ids, self.width)
+        data, size = ids.tobytes(), ids.itemsize
+        return [data[a * size:b * size] for a, b in zip(ends, ends[1:])]
+
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of chunks with what stands before them."""
         letters, plain, lines, odd = [], [], [], []
         for c in chunks:
-            if self.merges and c.isascii() and c.isalpha():
+            if self.written and c.isalpha() and (c.isascii() or ord(max(c)) < LATIN_END):
                 letters.append(c)
             elif c == "" or c[-1].isspace() or " " in c or c[0] == STOP:
                 odd.append(c)
             elif c[0] == BREAK:
-                lines.append(c[1:])
+                lines.append(c)
             else:
                 plain.append(c)
-        out = self._together(letters, " ", self.blank, letters=True) | self._together(plain, " ", self.blank)
+        out = dict(zip(letters, self._words(letters, BLANK)))
+        out.update(zip(plain, self._together(plain, " ", self.blank)))
         # chunks begun with a line break hold no other, so its id cuts them apart
-        out |= {BREAK + c: x for c, x in self._together(lines, "\n", self.line).items()}
-        out |= zip(odd, [x.tobytes() for x in self._ids([c[1:] if c[:1] == STOP else " " + c for c in odd])])
+        out.update(zip(lines, self._together([c[1:] for c in lines], "\n", self.line)))
+        out.update(zip(odd, [x.tobytes() for x in self._ids([c[1:] if c[:1] == STOP else " " + c for c in odd])]))
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -198,8 +213,9 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
         at = []
+        maybe = pc.match_substring_regex(pa.array(texts, pa.large_string()), MAYBE_ODD).to_pylist()
         for k, text in enumerate(texts):
-            if self._odd(text):
+            if maybe[k] and self._odd(text):
                 chunks = self._odd_chunks(text)
                 distinct = list(dict.fromkeys(chunks))
                 ids = dict(zip(distinct, self._look_up(distinct)))
@@ -226,12 +242,20 @@ class Encoder:
     def _look_up(self, chunks: list[str]) -> list[bytes]:
         """Ids of these distinct chunks, new ones learned and, if short, remembered."""
         ids = list(map(self.known.get, chunks))
-        missing = [c for c, x in zip(chunks, ids) if x is None]
-        if missing:
-            found = {c: x for c in missing if (x := self.older.get(c)) is not None}
-            found |= self._learn([c for c in missing if c not in found])
-            ids = [found[c] if x is None else x for c, x in zip(chunks, ids)]
-            self.known |= {c: x for c, x in found.items() if len(c) <= CHUNK_CHARS}
+        at = [k for k, x in enumerate(ids) if x is None]
+        if at:
+            missing = [chunks[k] for k in at]
+            found = list(map(self.older.get, missing))
+            new = [c for c, x in zip(missing, found) if x is None]
+            if new:
+                learned = self._learn(new)
+                found = [learned[c] if x is None else x for c, x in zip(missing, found)]
+            for k, x in zip(at, found):
+                ids[k] = x
+            self.known.update(zip(missing, found))
+            for c in missing:
+                if len(c) > CHUNK_CHARS:
+                    del self.known[c]
         return ids
 
 
@@ -307,24 +331,24 @@ class Index:
     """BM25 postings of one shard: term -> places and weights."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.idf, self.n = idf, len(docs)
-        self.terms = []
-        term, place, weight = [], [], []
-        for k, ids in enumerate(docs):
-            t, tf = np.unique(ids, return_counts=True)
-            self.terms.append(t)
-            term.append(t)
-            place.append(np.full(len(t), k, np.int32))
-            weight.append((idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))).astype(np.float32))
-        term = np.concatenate(term)
-        order = np.argsort(term, kind="stable")
-        self.place, self.weight = np.concatenate(place)[order], np.concatenate(weight)[order]
+        self.docs, self.n = docs, len(docs)
+        self.rarest = np.argsort(-idf, kind="stable")
+        self.rank = np.empty(len(idf), docs[0].dtype)
+        self.rank[self.rarest] = np.arange(len(idf))
+        sizes = np.array([len(x) for x in docs])
+        ids = np.concatenate(docs)
+        order = np.argsort(ids, kind="stable")  # by term, and by document in it
+        term, place = ids[order], np.repeat(np.arange(self.n, dtype=np.int32), sizes)[order]
+        first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (place[1:] != place[:-1]))))
+        tf = np.diff(np.concatenate((first, [len(term)])))
+        term, self.place = term[first], place[first].astype(np.intp)
+        norm = K1 * (1 - B + B * sizes / mean)
+        self.weight = (idf[term] * tf * (K1 + 1) / (tf + norm[self.place])).astype(np.float32)
         self.ends = np.cumsum(np.bincount(term, minlength=len(idf)))
 
     def neighbours(self, k: int, used: np.ndarray) -> list[int]:
         """Unused documents by BM25 score for the rarest terms of document k."""
-        terms = self.terms[k].astype(np.int64)
-        terms = terms[np.argsort(-self.idf[terms], kind="stable")]
+        terms = self.rarest[distinct_ids(self.rank[self.docs[k]])]
         held = self.ends[terms] - np.where(terms > 0, self.ends[terms - 1], 0)
         terms = terms[held > 1]  # a term of no other document finds none
         at, size = 0, QUERY_TERMS

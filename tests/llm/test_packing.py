@@ -3,6 +3,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from pyspark.sql import functions as F
@@ -156,3 +158,45 @@ def test_chunks_are_remembered_in_two_turns(monkeypatch):
     words = ["Alpha", "zZzq", "don", "t", "caf\u00e9", "x9", "a_b", "don't", "--", "1234"]
     alone = encoder._learn(words)
     assert [np.frombuffer(alone[w], encoder.width).tolist() for w in words] == reference_ids([" " + w for w in words])
+
+
+def test_letter_words_take_the_model_and_plain_texts_no_second_look(monkeypatch):
+    rnd = random.Random(21)
+    latin = [chr(k) for k in range(0xC0, 0x250)] + list("abcdefghij" * 30)
+    texts = [" ".join("".join(c for c in rnd.choices(latin, k=rnd.randrange(1, 12)) if c.isalpha()) or "x"
+                      for _ in range(200)) for _ in range(5)]
+    encoder = packing.Encoder(packing.default_path())
+    together, looked = [], []
+    plainly, odd = encoder._together, encoder._odd
+    monkeypatch.setattr(encoder, "_together", lambda words, *a, **k: together.extend(words) or plainly(words, *a, **k))
+    monkeypatch.setattr(encoder, "_odd", lambda text: looked.append(text) or odd(text))
+    texts += ["caf\u00e9 \u0141\u00f3d\u017a, x9 it. End.\nNew line"]
+    assert [x.tolist() for x in encoder.encode(texts)] == reference_ids(texts)
+    assert not any(w.isalpha() for w in together if w not in ("New", "line")) and "x9" in together
+    assert not looked
+
+
+def test_every_odd_text_is_looked_at():
+    rnd = random.Random(22)
+    marks = [*packing.ODD, " ", "\n", ". ", ", ", ".\n", ",\n", "a", "\u00e9", "\u6f22", "7", "_", "\u0663", "-", "\u02b0"]
+    texts = ["".join(rnd.choices(marks, k=rnd.randrange(5))) for _ in range(20_000)]
+    texts += [a + b + c + "z" for a in marks for b in ".," for c in " \n"]
+    maybe = pc.match_substring_regex(pa.array(texts, pa.large_string()), packing.MAYBE_ODD).to_pylist()
+    assert all(m for t, m in zip(texts, maybe) if packing.Encoder._odd(t))
+    assert not any(m for t, m in zip(["a b", "a, b. c", "9. x", "\u00e9, e\nf"], pc.match_substring_regex(
+        pa.array(["a b", "a, b. c", "9. x", "\u00e9, e\nf"]), packing.MAYBE_ODD).to_pylist()))
+
+
+def test_postings_of_a_shard_sorted_once(monkeypatch):
+    rnd = np.random.default_rng(3)
+    docs = [rnd.integers(0, 300, n).astype("<u2") for n in (1, 5, 400, 2000, 3)]
+    idf = rnd.choice(np.array([0.5, 1, 1.5, 2], np.float32), 300)
+    want = []
+    for k, x in enumerate(docs):
+        for t, tf in zip(*np.unique(x, return_counts=True)):
+            norm = packing.K1 * (1 - packing.B + packing.B * len(x) / 500.0)
+            want.append((t, k, np.float32(idf[t] * tf * (packing.K1 + 1) / (tf + norm))))
+    monkeypatch.setattr(np, "unique", None)  # no document is sorted on its own
+    index = packing.Index(docs, idf, 500.0)
+    at = np.repeat(np.arange(300), np.diff(np.concatenate(([0], index.ends))))
+    assert list(zip(at, index.place, index.weight)) == sorted(want)
