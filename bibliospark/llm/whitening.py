@@ -45,10 +45,13 @@ SWEEPS = 60
 
 # ------------------------------------------------------------------ linear --
 
-def pivoted_cholesky(v: np.ndarray, tolerance: float = RANK) -> np.ndarray:
+def pivoted_cholesky(v: np.ndarray, tolerance: float | None = None) -> np.ndarray:
     """L (d x rank) with v = L L'; rows in the order of v's, so L is triangular
-    up to the permutation of its pivots."""
+    up to the permutation of its pivots. Pivots below ``tolerance`` of the largest
+    diagonal entry are rounding; by default v's entries are taken as exact doubles."""
     rest, out = np.array(v, np.float64), []
+    if tolerance is None:
+        tolerance = len(rest) * np.finfo(np.float64).eps
     limit = tolerance * max(rest.diagonal().max(initial=0.0), 0.0)
     for _ in range(len(rest)):
         at = int(rest.diagonal().argmax())
@@ -208,7 +211,7 @@ def whiten(embeddings: DataFrame, components: int = COMPONENTS) -> DataFrame:
     n, total = sums(vectors, dim)
     first, second = _scatter(vectors, dim, lambda x: _centred(x, n, total))
     v = second / n
-    values, axes = one_sided_jacobi(pivoted_cholesky((v + v.T) / 2))
+    values, axes = one_sided_jacobi(pivoted_cholesky((v + v.T) / 2, RANK))
     k = min(components, len(values))
     if not k:
         return spark.createDataFrame([], RESULT)
