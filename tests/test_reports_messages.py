@@ -1,6 +1,7 @@
 """Reports (bag semantics, blanks, collation) and the message log."""
 
 import datetime as dt
+from collections import Counter
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -145,3 +146,28 @@ def test_articles_by_year_and_author(spark):
     assert ids(R.articles_by_year_and_author(arts, authors, bridge, 1997, 1998, "RED")) == [1, 4, 6]
     assert ids(R.articles_by_year_and_author(arts, authors, bridge, 1997, 1998, "")) == [1, 3, 4, 5, 6]
     assert ids(R.articles_by_year_and_author(arts, authors, bridge, None, None, "bob")) == [5]
+
+
+def test_author_lists_broadcast_nothing_that_grows(spark):
+    # well compressed tables have small files and many rows: file sizes must not decide
+    arts = spark.range(1, 40).withColumnRenamed("id", "article_id")
+    authors = spark.range(1, 9).selectExpr("id", "concat('Author ', id % 5) AS nom_complet")
+    bridge = spark.range(120).selectExpr("id % 39 + 1 AS article_id", "id % 8 + 1 AS auteur_id")
+    places = spark.range(60).selectExpr("id % 8 + 1 AS auteur_id", "id % 3 + 1 AS affiliation_id")
+    aff = spark.range(1, 4).selectExpr("id", "concat('I', id) AS nom_institution", "'P' AS pays")
+    out = R.author_list(arts, authors, bridge, places, aff)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = out.collect()
+    per = Counter(r.article_id for r in rows)
+    assert sorted((r.article_id, r.pos) for r in rows) == sorted((a, k) for a, n in per.items() for k in range(1, n + 1))
+
+
+def test_numbering_broadcasts_no_long_keys(spark, monkeypatch):
+    from bibliospark.functions import sequence
+    df = spark.range(300).selectExpr("id", "CASE WHEN id % 7 > 0 THEN repeat(string(id % 7), 50) END AS k").repartition(5)
+    want = sorted((r.k or "", r.id, r.seq) for r in sequence.sequence_numbers(df, ["id"], key="k").collect())
+    monkeypatch.setattr(sequence, "BROADCAST_KEYS", 100)
+    out = sequence.sequence_numbers(df, ["id"], key="k")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert sorted((r.k or "", r.id, r.seq) for r in out.collect()) == want
