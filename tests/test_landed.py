@@ -135,3 +135,14 @@ def test_enrich_moves_each_document_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     # no join that picks documents before the one that gives them out
     assert "LeftSemi" not in plan and plan.count("Join Inner") == 2
+
+
+@pytest.mark.parametrize("fmt", ["array", "jsonl"])
+def test_values_are_never_broadcast(spark, tmp_path, fmt):
+    # a parsed value has an estimated size far under its own; only the files' numbers may be broadcast
+    docs = [json.dumps(document(k, **{"dc:description": "x" * 1000})) for k in range(20)]
+    path = write(tmp_path / "docs.json", f"[{','.join(docs)}]" if fmt == "array" else "\n".join(docs))
+    rows = landed.read_documents(spark, path, fmt)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    assert sorted(r.seq for r in rows.collect()) == list(range(1, 21))
